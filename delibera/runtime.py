@@ -50,5 +50,14 @@ def spread(df: DataFrame, *keys: str, tasks: int | None = None) -> DataFrame:
     return df.repartition(tasks or slots(df.sparkSession), *[F.col(k) for k in keys])
 
 
+def importable(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it."""
+    home = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
+    if home not in paths:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([home, *filter(None, paths)])
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    importable(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
