@@ -85,7 +85,7 @@ def _contract_here(node: np.ndarray, parent: np.ndarray, width: np.ndarray, low:
     least[code[:size]] = low
     alive = up >= 0
     removed: list[np.ndarray] = []
-    seed = 1
+    coins = np.random.default_rng(1)
     while True:
         inner = alive & (up != np.arange(n))
         if not inner.any():
@@ -97,8 +97,7 @@ def _contract_here(node: np.ndarray, parent: np.ndarray, width: np.ndarray, low:
         inner = alive & (up != np.arange(n))
         kids = np.bincount(up[inner], minlength=n)
         loops = np.bincount(up[alive & ~inner], minlength=n)
-        coin = ((np.arange(n) * 2654435761 + seed * 40503) >> 7) & 1
-        seed = (seed * 69069 + 12345) & 0xFFFFFFFF
+        coin = coins.integers(0, 2, n)
         pick = inner & (kids == 1) & (loops == 0) & (coin == 1)
         pick &= ~(pick[np.maximum(up, 0)] & (up >= 0))
         kid = np.flatnonzero(inner)
