@@ -185,7 +185,7 @@ def g36_w8_leave_one_out(spark, d):
     return c.withColumn("p", F.round(F.col("n") / F.sum("n").over(w), 6)).withColumn("support", F.sum("n").over(w)).where("support >= 10")
 
 
-@query(f"WITH {DEC}, {RAT.split(', ', 1)[1] if False else RAT.replace(NOTES + ', ', '')}, g AS (SELECT forum_id, max(rating) - min(rating) gap FROM rt GROUP BY 1 HAVING count(*) >= 3) SELECT gap, count(*) n, CASE WHEN count(acc) > 5 THEN round(avg(CAST(acc AS INT)), 6) END rate FROM g LEFT JOIN acc USING (forum_id) GROUP BY 1")
+@query(f"WITH {DEC}, {RAT.replace(NOTES + ', ', '')}, g AS (SELECT forum_id, max(rating) - min(rating) gap FROM rt GROUP BY 1 HAVING count(*) >= 3) SELECT gap, count(*) n, CASE WHEN count(acc) > 5 THEN round(avg(CAST(acc AS INT)), 6) END rate FROM g LEFT JOIN acc USING (forum_id) GROUP BY 1")
 def g37_gaps(spark, d):
     g = base.ratings(spark, d).groupBy("forum_id").agg((F.max("rating") - F.min("rating")).alias("gap"), F.count(F.lit(1)).alias("n")).where("n >= 3").drop("n")
     return g.join(acc(spark, d), "forum_id", "left").groupBy("gap").agg(F.count(F.lit(1)).alias("n"), F.when(F.count("acc") > 5, F.round(F.avg(F.col("acc").cast("int")), 6)).alias("rate"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from delibera.plans import records
+from delibera.plans import corpus, ledger, mining, panels, quality, records, sampling, sequences
 
-MODULES = [records]
+MODULES = [records, corpus, sequences, panels, mining, sampling, quality, ledger]
 
 
 def queries() -> dict:
