@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from delibera.plans import corpus, ledger, mining, panels, quality, records, sampling, sequences
+from delibera.plans import corpus, ledger, mining, panels, quality, records, sampling, sequences, warehouse
 
-MODULES = [records, corpus, sequences, panels, mining, sampling, quality, ledger]
+MODULES = [records, corpus, sequences, panels, mining, sampling, quality, ledger, warehouse]
 
 
 def queries() -> dict:
