@@ -11,7 +11,6 @@ from delibera.operators import sequence as S
 from delibera.plans import base
 
 GROUP, ORDER = ["forum_id", "reviewer_key"], ["unit_index", "unit_pk"]
-V = F.lower(F.trim("valence"))
 SEQ = f"{UNITS}, s AS (SELECT forum_id, reviewer_key, unit_index, unit_pk, year, lower(trim(valence)) v, {cascade('inspected_object', T.TOPIC_RULES, 'other')} topic FROM u)"
 POS = f"{SEQ}, p AS (SELECT *, row_number() OVER (PARTITION BY forum_id, reviewer_key ORDER BY unit_index, unit_pk) - 1 pos, count(*) OVER (PARTITION BY forum_id, reviewer_key) n FROM s)"
 GRP = "CASE v WHEN 'negative' THEN 'neg' WHEN 'positive' THEN 'pos' ELSE 'hedged' END"
@@ -19,7 +18,7 @@ GRP = "CASE v WHEN 'negative' THEN 'neg' WHEN 'positive' THEN 'pos' ELSE 'hedged
 
 def seq(spark, d):
     return base.units(spark, d, "forum_id", "reviewer_key", "unit_index", "year", "valence", "inspected_object").select(
-        *GROUP, *ORDER, "year", V.alias("v"), T.first_match(F.col("inspected_object"), T.TOPIC_RULES, "other").alias("topic")
+        *GROUP, *ORDER, "year", F.lower(F.trim("valence")).alias("v"), T.first_match(F.col("inspected_object"), T.TOPIC_RULES, "other").alias("topic")
     )
 
 

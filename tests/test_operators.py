@@ -210,3 +210,13 @@ def test_core_stands_alone():
             for n in names:
                 if n.endswith(".py"):
                     assert "delibera.llm" not in open(os.path.join(folder, n)).read(), n
+
+
+def test_entry_imports_without_a_session():
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = "import __spark_entry__ as e; print(len(e.queries()), set(e.oracle_sql()) <= set(e.queries()))"
+    out = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, check=True).stdout
+    assert out.split()[-1] == "True"
