@@ -245,8 +245,8 @@ def _emit(tree: FeatureTree, part: int) -> pd.DataFrame:
     return pd.DataFrame({"part": np.full(len(tree.n), part, dtype=np.int32), "n": tree.n, "total": [v.astype(np.float32).tobytes() for v in tree.sum], "square": tree.square})
 
 
-def leaf_summary(rows: DataFrame, weights, entries: int = 1024, fan_in: int = 8) -> tuple[np.ndarray, np.ndarray]:
-    """Counts and centers of the leaf entries of all rows' trees, merged by a tree of tasks."""
+def leaf_summary(rows: DataFrame, weights, parts: int, entries: int = 1024, fan_in: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """Counts and centers of the leaf entries of all rows' trees, merged by a tree of tasks; ``parts``: partitions of ``rows``."""
     from pyspark import TaskContext
 
     def build(batches):
@@ -268,7 +268,6 @@ def leaf_summary(rows: DataFrame, weights, entries: int = 1024, fan_in: int = 8)
         tree.add(pdf["n"].to_numpy(), np.vstack([np.frombuffer(x, np.float32) for x in pdf["total"]]), pdf["square"].to_numpy())
         return _emit(tree, int(pdf["part"].min()) // fan_in)
 
-    parts = rows.rdd.getNumPartitions()
     level = cut(rows.select("a", "b").mapInPandas(build, FEATURES), "features")
     while parts > 1:
         level = cut(level.groupBy(F.expr(f"part div {fan_in}")).applyInPandas(merge, FEATURES), "features")
@@ -280,9 +279,9 @@ def leaf_summary(rows: DataFrame, weights, entries: int = 1024, fan_in: int = 8)
     return n, np.vstack([np.frombuffer(r["total"], np.float32) for r in found]) / n[:, None]
 
 
-def cluster_centers(rows: DataFrame, weights, clusters: int, entries: int = 1024) -> tuple[np.ndarray, np.ndarray]:
+def cluster_centers(rows: DataFrame, weights, parts: int, clusters: int, entries: int = 1024) -> tuple[np.ndarray, np.ndarray]:
     """Directions and sizes of Ward's clusters of the leaf entries, largest first."""
-    n, centers = leaf_summary(rows, weights, entries)
+    n, centers = leaf_summary(rows, weights, parts, entries)
     if not len(n):
         return np.zeros((0, DIM), np.float32), n
     label = ward(n, centers, clusters)
@@ -309,13 +308,13 @@ def _prepared(units: DataFrame):
     rows = cut(distinct_units(units), "units")
     tasks = max(spark.sparkContext.defaultParallelism, -(-rows.count() // 25_000))
     rows = spread(rows, "unit_pk", tasks=tasks)
-    return rows, spark.sparkContext.broadcast(word_weights(rows))
+    return rows, tasks, spark.sparkContext.broadcast(word_weights(rows))
 
 
 def described_clusters(units: DataFrame, clusters: int = 60, members: int = 12) -> DataFrame:
     """(cluster, size, share, exemplars): the members nearest to the centroid, distinct, nearest first."""
-    rows, weights = _prepared(units)
-    centers, _ = cluster_centers(rows, weights, clusters)
+    rows, parts, weights = _prepared(units)
+    centers, _ = cluster_centers(rows, weights, parts, clusters)
     known = units.sparkSession.sparkContext.broadcast(centers)
 
     def run(batches):
@@ -373,10 +372,10 @@ def found_matters(units: DataFrame, exemplars: DataFrame, clusters: int = 240, l
     The check asks for a likeness of ``least`` to what the row's clusters are about, and of ``alone`` where the unit's
     own cluster is named by no row.
     """
-    rows, weights = _prepared(units)
+    rows, parts, weights = _prepared(units)
     listed = [(r["cluster_id"], r["exemplars"] or []) for r in exemplars.where(F.col("cluster_id").isNotNull()).orderBy("cluster_id").collect()]
     schema = "unit_pk long, cluster_id int"
-    centers, sizes = cluster_centers(rows, weights, clusters)
+    centers, sizes = cluster_centers(rows, weights, parts, clusters)
     if not listed or not len(centers):
         return units.sparkSession.createDataFrame([], schema)
     directions = np.array([half([words_of(x) for x in texts], weights.value).mean(0) if texts else np.zeros(HALF) for _, texts in listed])
