@@ -45,12 +45,14 @@ def one_way_icc(df: DataFrame, group: list[str], value: str) -> DataFrame:
 def mean_gap(df: DataFrame, group: list[str], value: str) -> DataFrame:
     """Mean |difference| over all pairs within groups, without making the pairs.
 
-    In sorted order a value is the larger of a pair as often as values stand before it, and the smaller as often as
-    stand behind: the sum of all gaps is the sum of value * (before - behind).
+    In sorted order a value is the larger of a pair as often as rows stand before it, and the smaller as often as
+    stand behind: the sum of all gaps is the sum of value * rows of it * (before - behind). Equal values are counted
+    together first, so the windows run over the values that occur, not over the rows.
     """
+    c = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("_c"))
     w = Window.partitionBy(*group)
-    n, k = F.count(F.lit(1)).over(w), F.row_number().over(w.orderBy(value))
-    x = df.where(F.col(value).isNotNull()).select(*group, (F.col(value) * (2 * k - n - 1)).alias("_g"), n.alias("_n"))
+    upto, n = F.sum("_c").over(w.orderBy(value)), F.sum("_c").over(w)
+    x = c.select(*group, (F.col(value) * F.col("_c") * ((upto - F.col("_c")) - (n - upto))).alias("_g"), n.alias("_n"))
     by = x.groupBy(*group).agg(F.sum("_g").alias("_s"), F.first("_n").alias("_n"))
     return by.agg((F.sum("_s") / F.nullif(F.sum(F.col("_n") * (F.col("_n") - 1) / 2), F.lit(0.0))).alias("mean_gap"), F.sum(F.col("_n") * (F.col("_n") - 1) / 2).cast("long").alias("pairs"))
 

@@ -24,10 +24,8 @@ def broken_rules(df: DataFrame, key: str, rules: dict[str, Column]) -> DataFrame
 
 def share_over(df: DataFrame, key: str, ceiling: float) -> DataFrame:
     """Values that hold more than ``ceiling`` of all rows."""
-    c = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    from pyspark.sql import Window
-
-    return c.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy())).where(F.col("share") > ceiling)
+    total = max(1, df.count())
+    return df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).withColumn("share", F.col("n") / F.lit(total)).where(F.col("share") > ceiling)
 
 
 def partition_faults(whole: DataFrame, parts: DataFrame, key: str, part: str) -> DataFrame:

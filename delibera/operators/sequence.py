@@ -9,6 +9,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from delibera.runtime import cut
+
+
+def ranked(df: DataFrame, order: list) -> tuple[DataFrame, int]:
+    """``df`` with ``rank0``, its place from 0 in the order of all rows, and the number of rows.
+
+    Rows are cut by range into pieces, numbered within each, and raised by the sizes of the pieces before, of which
+    there are as many as shuffle partitions. No task sees more than a piece.
+    """
+    columns = [F.col(c) if isinstance(c, str) else c for c in order]
+    pieces = cut(df.repartitionByRange(*columns).withColumn("_piece", F.spark_partition_id()), "pieces")
+    sizes = {r["_piece"]: r["n"] for r in pieces.groupBy("_piece").agg(F.count(F.lit(1)).alias("n")).collect()}
+    add, total = {}, 0
+    for k in sorted(sizes):
+        add[k], total = total, total + sizes[k]
+    before = F.element_at(F.create_map(*[F.lit(x) for kv in (add or {0: 0}).items() for x in kv]), F.col("_piece")).cast("long")
+    within = Window.partitionBy("_piece").orderBy(*columns)
+    return pieces.withColumn("rank0", F.row_number().over(within) - 1 + before).drop("_piece"), total
+
 
 def positioned(df: DataFrame, group: list[str], order: list[str]) -> DataFrame:
     """Adds ``pos`` (from 0) and ``n`` (rows of the group)."""
@@ -46,7 +65,10 @@ def position_bin(pos: Column, n: Column, bins: int = 5) -> Column:
 
 
 def quantile_bins(df: DataFrame, by: list[str], bins: int, within: list[str] = ()) -> DataFrame:
-    """``bin`` by rank: floor(rank * bins / n), ties by the later columns of ``by``."""
+    """``bin`` by rank: floor(rank * bins / n), ties by the later columns of ``by``. Bins of all rows are ranked in pieces."""
+    if not within:
+        r, n = ranked(df, by)
+        return r.withColumn("bin", F.floor(F.col("rank0") * bins / F.lit(max(1, n))).cast("int")).drop("rank0")
     w = Window.partitionBy(*within)
     return df.withColumn("bin", F.floor((F.row_number().over(w.orderBy(*by)) - 1) * bins / F.count(F.lit(1)).over(w)).cast("int"))
 
@@ -56,10 +78,13 @@ def shares(counts: DataFrame, n: str, within: list[str] = ()) -> DataFrame:
 
 
 def leave_one_out(df: DataFrame, group: list[str], value: str, least: int = 3) -> DataFrame:
-    """``others``: the mean of the other rows of a group with at least ``least`` rows, rounded half to even."""
-    w = Window.partitionBy(*group)
-    n = F.count(value).over(w)
-    return df.withColumn("_n", n).where(F.col("_n") >= least).withColumn("others", F.bround((F.sum(value).over(w) - F.col(value)) / (F.col("_n") - 1), 0).cast("int")).drop("_n")
+    """``others``: the mean of the other rows of a group with at least ``least`` rows, rounded half to even.
+
+    Sums and counts are combined before the shuffle and joined back, so that a large group needs no task of its own.
+    """
+    t = df.groupBy(*group).agg(F.count(value).alias("_n"), F.sum(value).alias("_s")).where(F.col("_n") >= least)
+    j = df.where(F.col(value).isNotNull()).join(t, group)
+    return j.withColumn("others", F.bround((F.col("_s") - F.col(value)) / (F.col("_n") - 1), 0).cast("int")).drop("_n", "_s")
 
 
 def run_lengths(df: DataFrame, group: list[str], order: list[str], flag: str) -> DataFrame:

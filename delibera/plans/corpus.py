@@ -39,23 +39,23 @@ def a19_field_inventory(spark, d):
 
 
 @query(f"WITH {NOTES} SELECT kind, {cascade('invitations_json', T.KIND_RULES, 'unknown')} derived, count(*) n FROM m GROUP BY ALL")
-def p17_kind_cascade(spark, d):
+def f_p17_kind_cascade(spark, d):
     return base.notes(spark, d).groupBy("kind", T.kind_of(F.col("invitations_json")).alias("derived")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"WITH {NOTES}, s AS (SELECT kind, {cascade('signature', T.SIGNATURE_RULES, '')} s FROM m) SELECT CASE WHEN s <> '' THEN s WHEN kind = 'decision' THEN 'program_chair' WHEN kind = 'meta_review' THEN 'area_chair' ELSE 'unknown' END AS role, kind, count(*) n FROM s GROUP BY ALL")
-def p18_role_cascade(spark, d):
+def f_p18_role_cascade(spark, d):
     return base.notes(spark, d).groupBy(T.role_of(F.col("signature"), F.col("kind")).alias("role"), "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"WITH {NOTES} SELECT note_id, coalesce({section('content_text', 'title')}, {section('content_text', 'decision')}, {section('content_text', 'metareview')}) head FROM m")
-def p23_first_present(spark, d):
+def f_p23_first_present(spark, d):
     t = F.col("content_text")
     return base.notes(spark, d).select("note_id", F.coalesce(T.section(t, "title"), T.section(t, "decision"), T.section(t, "metareview")).alias("head"))
 
 
 @query(f"""WITH {NOTES} SELECT year, count(*) n, count(*) FILTER (lower({section('content_text', 'decision')}) LIKE '%accept%') like_n, count(*) FILTER (regexp_matches(lower({section('content_text', 'decision')}), 'accept|oral|poster|spotlight')) broad_n, count(*) FILTER (contains(lower({section('content_text', 'decision')}), 'accept')) word_n FROM m WHERE kind = 'decision' GROUP BY 1""")
-def p22_accept_modes(spark, d):
+def f_p22_accept_modes(spark, d):
     n = base.notes(spark, d).where("kind = 'decision'").withColumn("d", T.section(F.col("content_text"), "decision"))
     return n.groupBy("year").agg(F.count(F.lit(1)).alias("n"), F.count_if(T.accepted(F.col("d"), "like")).alias("like_n"), F.count_if(T.accepted(F.col("d"))).alias("broad_n"), F.count_if(T.accepted(F.col("d"), "word")).alias("word_n"))
 
@@ -153,7 +153,7 @@ def j25_coverage(spark, d):
 
 
 @query(f"WITH {NOTES} SELECT count(*) n, count(*) FILTER (EXISTS (SELECT 1 FROM m r WHERE r.replyto = m.note_id)) answered, count(*) FILTER (NOT EXISTS (SELECT 1 FROM m r WHERE r.replyto = m.note_id)) unanswered FROM m WHERE kind = 'official_review'")
-def p10_p11_j7_exists(spark, d):
+def j7_p10_p11_exists(spark, d):
     n = base.notes(spark, d)
     r = n.where("kind = 'official_review'").select("note_id")
     to = n.select(F.col("replyto").alias("note_id")).where("note_id IS NOT NULL").distinct().withColumn("_a", F.lit(True))
@@ -161,7 +161,7 @@ def p10_p11_j7_exists(spark, d):
 
 
 @query(f"WITH {NOTES} SELECT f.year, f.forum_id, (SELECT count(*) FROM m WHERE m.forum_id = f.forum_id) stored, max(f.reply_count) declared FROM forums f GROUP BY f.year, f.forum_id")
-def p13_v5_declared_counts(spark, d):
+def v5_p13_declared_counts(spark, d):
     stored = base.notes(spark, d).groupBy("forum_id").agg(F.count(F.lit(1)).alias("stored"))
     f = read(spark, d, "forums").groupBy("year", "forum_id").agg(F.max("reply_count").alias("declared"))
     return f.join(stored, "forum_id", "left").select("year", "forum_id", F.coalesce("stored", F.lit(0).cast("long")).alias("stored"), "declared")
@@ -183,12 +183,12 @@ def j2_composite_join(spark, d):
 FETCH = "substr(replace(fetched_at,'T',' '),1,19)"
 
 
-@query(f"WITH o AS (SELECT forum_id, max(({FETCH}, reply_count)) r FROM forums GROUP BY 1) SELECT forum_id, count(*) OVER () AS forums FROM o")
+@query(f"SELECT forum_id, max({FETCH}) AS fetched FROM forums GROUP BY 1")
 def k1_k3_upsert_last(spark, d):
     f = read(spark, d, "forums").select("forum_id", T.millis_of(F.col("fetched_at")).alias("at"), "reply_count")
     half = F.xxhash64("forum_id", "at") % 2 == 0
     t = R.upsert_last(f.where(half), f.where(~half | half.isNull()), ["forum_id"], [F.col("at").desc_nulls_last(), F.col("reply_count").desc_nulls_last()])
-    return t.select("forum_id", F.count(F.lit(1)).over(Window.partitionBy()).alias("forums"))
+    return t.select("forum_id", F.col("at").alias("fetched"))
 
 
 @query("WITH o AS (SELECT job_id, max(completion_tokens) v FROM api_calls WHERE status = 'failed' GROUP BY 1), n AS (SELECT job_id, max(completion_tokens) v FROM api_calls WHERE status = 'complete' GROUP BY 1) SELECT coalesce(o.job_id, n.job_id) job_id, coalesce(n.v, o.v) v FROM o FULL JOIN n ON o.job_id = n.job_id")

@@ -103,7 +103,7 @@ def t13_responses(spark, d):
 
 
 @query(f"WITH {CALLS}, x AS (SELECT *, CASE WHEN status = 'complete' THEN 'none' WHEN lower(coalesce(finish_reason,'')) = 'length' THEN 'truncated' WHEN error IS NULL THEN 'lost' WHEN regexp_matches(lower(error), 'time|timeout') THEN 'timeout' WHEN regexp_matches(lower(error), 'rate|429|limit') THEN 'rate_limit' ELSE 'other' END cat FROM c) SELECT status, cat, count(*) n FROM x GROUP BY ALL")
-def p16_p24_triage(spark, d):
+def t_p16_p24_triage(spark, d):
     err = F.lower("error")
     cat = F.when(F.col("status") == "complete", "none").when(F.lower(F.coalesce("finish_reason", F.lit(""))) == "length", "truncated").when(F.col("error").isNull(), "lost").when(err.rlike("time|timeout"), "timeout").when(err.rlike("rate|429|limit"), "rate_limit").otherwise("other")
     return base.calls(spark, d).withColumn("cat", cat).groupBy("status", "cat").agg(F.count(F.lit(1)).alias("n"))

@@ -9,6 +9,7 @@ from delibera.functions import text as T
 from delibera.functions.sql import CALLS, MEMOS, NOTES, UNITS, cascade
 from delibera.operators import quality as C
 from delibera.operators import relational as R
+from delibera.operators import sequence as S
 from delibera.plans import base
 from delibera.runtime import read
 
@@ -116,8 +117,8 @@ def g51_s17_comparison(spark, d):
     a = base.units(spark, d, "forum_id").groupBy("forum_id").agg(F.count(F.lit(1)).alias("x"))
     b = base.memos(spark, d).groupBy(F.element_at(F.split("paper_id", ":"), 2).alias("forum_id")).agg(F.count(F.lit(1)).alias("y"))
     j = a.join(b, "forum_id").select("x", "y", (F.col("x") - F.col("y")).alias("df"))
-    k = j.withColumn("_i", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("df"))).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(F.lit(1))))
-    return k.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("x") < F.col("y")).alias("fewer"), F.count_if(F.col("x") == F.col("y")).alias("equal"), F.count_if(F.col("x") > F.col("y")).alias("more"), F.max(F.when(F.col("_i") == F.floor(F.col("_n") / 2) + 1, F.col("df"))).alias("upper_median"))
+    k, n = S.ranked(j, ["df", "x", "y"])
+    return k.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("x") < F.col("y")).alias("fewer"), F.count_if(F.col("x") == F.col("y")).alias("equal"), F.count_if(F.col("x") > F.col("y")).alias("more"), F.max(F.when(F.col("rank0") == n // 2, F.col("df"))).alias("upper_median"))
 
 
 SETS = f"{UNITS}, s AS (SELECT forum_id, {cascade('inspected_object', T.TOPIC_RULES, 'other')} topic, temporal_position tp FROM u), o AS (SELECT forum_id, list_sort(list(DISTINCT topic) FILTER (tp = 'initial_review')) a, list_sort(list(DISTINCT topic) FILTER (tp = 'post_author_response')) b FROM s GROUP BY 1)"
