@@ -122,8 +122,9 @@ def judged(memos: DataFrame, calls: DataFrame, jobs: DataFrame, common: float =
     j = e.join(chars, ["model", "chars"], "left").join(tokens, ["stage", "tokens"], "left").join(ways, "form", "left").join(usual, ["stage", "heading"], "left")
     flag = lambda c: F.coalesce(F.col(c), F.lit(False))
     closed = (F.col("shape") == "closed") | (flag("_way") & ~F.col("form").rlike(r"^#{1,6}(\s|$)"))
-    ran_out = F.coalesce(F.col("reason").isin(RAN_OUT), F.lit(False))
     at_limit = F.coalesce(F.col("tokens") >= F.col("max_tokens"), F.lit(False))
+    # a call at its limit that doesn't say why it ended counts as one that ran out
+    ran_out = F.coalesce(F.col("reason").isin(RAN_OUT), at_limit)
     ratio = F.col("chars") / F.nullif(F.col("tokens"), F.lit(0))
     long_enough = F.col("tokens").isNull() & F.coalesce(F.col("chars") >= 3.55 * F.col("max_tokens"), F.lit(False))
     stopped_short = (
