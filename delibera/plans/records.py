@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from delibera.operators import drift, hierarchy, nested
+from delibera.plans.corpus import LINK
 from delibera.runtime import read
 
 
@@ -47,4 +48,9 @@ def p4_below(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_submission_tables, p1_reply_tables, p3_found, p3_submissions, p3_notes, p4_found, p4_described, p4_below)}
-SQL: dict[str, str] = {}
+#: Walks up from every note. Circles are walked 400 links: what is met after the 200th lies on the circle.
+SQL: dict[str, str] = {
+    "p4_found": f"""WITH RECURSIVE {LINK}, w(note_id, at_id, d) AS (SELECT note_id, note_id, 0 FROM ok UNION ALL SELECT w.note_id, ok.pid, w.d + 1 FROM w JOIN ok ON ok.note_id = w.at_id WHERE ok.pid IS NOT NULL AND w.d < 400),
+ e AS (SELECT w.note_id, w.at_id root_id, w.d node_depth, CASE WHEN ok.parent IS NULL THEN 'ok' ELSE 'orphan' END link_state FROM w JOIN ok ON ok.note_id = w.at_id WHERE ok.pid IS NULL)
+ SELECT note_id, root_id, CAST(node_depth AS INT) node_depth, link_state FROM e UNION ALL SELECT note_id, min(at_id), -1, 'cycle' FROM w WHERE d >= 200 AND note_id NOT IN (SELECT note_id FROM e) GROUP BY 1""",
+}
