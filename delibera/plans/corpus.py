@@ -92,7 +92,7 @@ def g42_daily_series(spark, d):
     c = F.col("cdate")
     ms = F.when(F.abs(c) < 10**11, c * 1000).when(F.abs(c) < 10**14, c).otherwise(F.floor(c / 1000))
     n = base.notes(spark, d).where("cdate IS NOT NULL AND cdate <> 0 AND year = 2024")
-    return R.daily(n, F.timestamp_millis(ms.cast("long")), "kind")
+    return R.daily(n, F.date_add(F.lit("1970-01-01").cast("date"), F.floor(ms / 86_400_000).cast("int")), "kind")  # days in UTC, whatever the session's zone
 
 
 @query(f"""WITH {NOTES}, {FORUMS}, w AS (SELECT year, forum_id, note_id, kind, CASE WHEN trim(regexp_replace(coalesce(content_text,''), '\\s+', ' ', 'g'), ' ') = '' THEN 0 ELSE len(string_split(trim(regexp_replace(content_text, '\\s+', ' ', 'g'), ' '), ' ')) END words FROM m)
