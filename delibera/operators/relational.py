@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from delibera.runtime import cut
+
 
 def upsert_last(old: DataFrame, new: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
     """Old and new rows, of each key the last by ``order``; on ties the new row."""
@@ -51,6 +53,22 @@ def daily(df: DataFrame, at: Column, kind: str) -> DataFrame:
     return grid.join(c, (grid["day"] == c["day"]) & grid["kind"].eqNullSafe(c["kind"]), "left").select(grid["day"], grid["kind"], F.coalesce("n", F.lit(0).cast("long")).alias("n"))
 
 
+def season(df: DataFrame, opens: list[str], closes: list[str], least: int = 5, after: int = 3) -> DataFrame:
+    """Rows of (year, day, kind) per day and kind of each year, days without rows included, and whether the day is ``dense``.
+
+    A year's dense window begins with the first day that has ``least`` rows of one of the kinds ``opens`` and ends
+    ``after`` days after the last one that has as many of one of ``closes``. Days outside it stay, as not dense; a year
+    that lacks either edge has no dense day.
+    """
+    c = cut(df.where("day IS NOT NULL").groupBy("year", "day", "kind").agg(F.count(F.lit(1)).alias("n")), "season")
+    edge = lambda kinds: F.when(F.col("kind").isin(kinds) & (F.col("n") >= least), F.col("day"))
+    span = c.groupBy("year").agg(F.min("day").alias("a"), F.max("day").alias("b"), F.min(edge(opens)).alias("first"), F.date_add(F.max(edge(closes)), after).alias("last"))
+    days = span.select("year", F.explode(F.sequence("a", F.greatest("b", "last"))).alias("day"), F.coalesce(F.col("day").between(F.col("first"), F.col("last")), F.lit(False)).alias("dense"))
+    grid = days.crossJoin(F.broadcast(c.select("kind").distinct())).withColumn("n", F.lit(0).cast("long"))  # calendar rows, not data rows
+    both = grid.unionByName(c.withColumn("dense", F.lit(None).cast("boolean")))
+    return both.groupBy("year", "day", "kind").agg(F.sum("n").alias("n"), F.max("dense").alias("dense"))
+
+
 def pack_with_reset(df: DataFrame, group: str, order: list[str], size: str, max_rows: int, max_size: int) -> DataFrame:
     """Consecutive packs of a group of at most ``max_rows`` rows and ``max_size`` size; a larger row is a pack alone.
 

@@ -89,12 +89,43 @@ MS = "CASE WHEN abs(cdate) < 100000000000 THEN cdate * 1000 WHEN abs(cdate) < 10
 @query(f"""WITH {NOTES}, e AS (SELECT CAST(make_timestamp({MS} * 1000) AS DATE) AS day, kind FROM m WHERE cdate IS NOT NULL AND cdate <> 0 AND year = 2024), s AS (SELECT min(day) a, max(day) b FROM e), g AS (SELECT CAST(unnest(generate_series(CAST(a AS TIMESTAMP), CAST(b AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS day FROM s), k AS (SELECT DISTINCT kind FROM e)
  SELECT g.day, k.kind, count(e.day) n FROM g CROSS JOIN k LEFT JOIN e ON e.day = g.day AND e.kind = k.kind GROUP BY ALL""")
 def g42_daily_series(spark, d):
+    """The notes of 2024 alone, as the SQL has it; g42_season_series has all years."""
     c = F.col("cdate")
     ms = F.when(F.abs(c) < 10**11, c * 1000).when(F.abs(c) < 10**14, c).otherwise(F.floor(c / 1000))
     n = base.notes(spark, d).where("cdate IS NOT NULL AND cdate <> 0 AND year = 2024")
     return R.daily(n, F.date_add(F.lit("1970-01-01").cast("date"), F.floor(ms / 86_400_000).cast("int")), "kind")  # days in UTC, whatever the session's zone
 
 
+def _day(c):
+    """Day in UTC of seconds, milliseconds or microseconds, whatever the session's zone."""
+    ms = F.when(F.abs(c) < 10**11, c * 1000).when(F.abs(c) < 10**14, c).otherwise(F.floor(c / 1000))
+    return F.date_add(F.lit("1970-01-01").cast("date"), F.floor(ms / 86_400_000).cast("int"))
+
+
+STAMP = "coalesce(nullif(TRY_CAST(json_extract_string(doc, '$.cdate') AS BIGINT), 0), nullif(TRY_CAST(json_extract_string(doc, '$.tcdate') AS BIGINT), 0))"
+
+
+@query(f"""WITH {NOTES}, j AS (SELECT year, forum_id, fetched_at, CASE WHEN json_valid(submission_json) THEN CASE WHEN json_type(submission_json) = 'VARCHAR' THEN json_extract_string(submission_json, '$') ELSE submission_json END END doc FROM forums),
+ x AS (SELECT year, forum_id, coalesce(substr(replace(fetched_at,'T',' '),1,19), '') fetched, CASE WHEN json_valid(doc) THEN {STAMP} END ms FROM j), y AS (SELECT year, forum_id, arg_max(ms, (fetched, ms)) cdate FROM x WHERE ms IS NOT NULL GROUP BY ALL),
+ e AS (SELECT year, CAST(make_timestamp({MS} * 1000) AS DATE) AS day, kind FROM m WHERE cdate IS NOT NULL AND cdate <> 0 UNION ALL SELECT year, CAST(make_timestamp({MS} * 1000) AS DATE), 'submission' FROM y),
+ c AS (SELECT year, day, kind, count(*) n FROM e GROUP BY ALL), k AS (SELECT DISTINCT kind FROM c),
+ s AS (SELECT year, min(day) a, max(day) b, min(day) FILTER (kind IN ('submission', 'official_review') AND n >= 5) first_day, max(day) FILTER (kind IN ('decision', 'withdrawal') AND n >= 5) + 3 last_day FROM c GROUP BY 1),
+ g AS (SELECT year, first_day, last_day, CAST(unnest(generate_series(CAST(a AS TIMESTAMP), CAST(greatest(b, last_day) AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS day FROM s)
+ SELECT g.year, g.day, k.kind, coalesce(c.n, 0) n, coalesce(g.day BETWEEN first_day AND last_day, false) dense FROM g CROSS JOIN k LEFT JOIN c ON c.day = g.day AND c.year IS NOT DISTINCT FROM g.year AND c.kind IS NOT DISTINCT FROM k.kind""")
+def g42_season_series(spark, d):
+    """All notes and submissions per year, day and kind, and whether the day is in the year's dense window.
+
+    Submissions are dated by ``cdate``, else ``tcdate``, of the latest fetch that has one.
+    """
+    n = base.notes(spark, d).where("cdate IS NOT NULL AND cdate <> 0").select("year", _day(F.col("cdate")).alias("day"), "kind")
+    raw = F.col("submission_json")
+    doc = F.when(F.ltrim(raw).startswith('"'), F.get_json_object(raw, "$")).otherwise(raw)  # some are encoded twice
+    stamp = lambda name: F.nullif(F.get_json_object(doc, f"$.{name}").try_cast("bigint"), F.lit(0))
+    f = read(spark, d, "forums").select("year", "forum_id", F.coalesce(T.millis_of(F.col("fetched_at")), F.lit("")).alias("at"), F.coalesce(stamp("cdate"), stamp("tcdate")).alias("ms"))
+    s = f.where("ms IS NOT NULL").groupBy("year", "forum_id").agg(F.max(F.struct("at", "ms"))["ms"].alias("ms")).select("year", _day(F.col("ms")).alias("day"), F.lit("submission").alias("kind"))
+    return R.season(n.unionByName(s), ["submission", "official_review"], ["decision", "withdrawal"])
+
+
 @query(f"""WITH {NOTES}, {FORUMS}, w AS (SELECT year, forum_id, note_id, kind, CASE WHEN trim(regexp_replace(coalesce(content_text,''), '\\s+', ' ', 'g'), ' ') = '' THEN 0 ELSE len(string_split(trim(regexp_replace(content_text, '\\s+', ' ', 'g'), ' '), ' ')) END words FROM m)
  SELECT year, count(*) notes, count(DISTINCT forum_id) forums, count(*) FILTER (kind = 'official_review') reviews, round(avg(words), 6) mean_words, round(median(words), 6) median_words, round(quantile_cont(words, 0.9), 6) p90 FROM w GROUP BY 1""")
 def g43_g9_g10_field_stats(spark, d):
