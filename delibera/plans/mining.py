@@ -31,10 +31,48 @@ STOP = ["the", "and", "for", "with", "that", "this", "are", "not", "its", "has"]
 
 @query(f"WITH {UNITS}, r AS (SELECT {NORM.format('reasoning')} txt, unit_pk, forum_id FROM u WHERE reasoning IS NOT NULL), g AS (SELECT txt, count(*) n, count(DISTINCT forum_id) forums, min(unit_pk) first_pk, max(unit_pk) last_pk FROM r GROUP BY 1) SELECT * FROM g WHERE forums >= 2")
 def g47_g48_repeated_texts(spark, d):
+    """Reasonings that two forums share, as the SQL has it; g47_g48_field_texts has all fields, by review."""
     r = base.units(spark, d, "reasoning", "forum_id").where("reasoning IS NOT NULL").select(T.normalized(F.col("reasoning")).alias("txt"), "unit_pk", "forum_id")
     return r.groupBy("txt").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("forum_id").alias("forums"), F.min("unit_pk").alias("first_pk"), F.max("unit_pk").alias("last_pk")).where("forums >= 2")
 
 
+FIELDS = ["inspected_object", "observation", "reasoning", "judgment", "suggested_improvement"]
+TEXTS = f"""{UNITS}, r AS (SELECT unit_pk, forum_id, reviewer_key, field, {NORM.format('t')} txt FROM (SELECT unit_pk, forum_id, reviewer_key, {', '.join(FIELDS)} FROM u) UNPIVOT (t FOR field IN ({', '.join(FIELDS)}))),
+ g AS (SELECT field, txt, count(*) n, count(DISTINCT (forum_id, reviewer_key)) reviews, count(DISTINCT forum_id) forums, min(unit_pk) first_pk, max(unit_pk) last_pk FROM r WHERE txt <> '' GROUP BY 1, 2)"""
+
+
+def _field_texts(spark, d):
+    """(unit_pk, forum_id, reviewer_key, field, txt): every text field of every unit that isn't empty."""
+    u = base.units(spark, d, "forum_id", "reviewer_key", *FIELDS)
+    pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), T.normalized(F.col(f)).alias("txt")) for f in FIELDS]))
+    return u.select("unit_pk", "forum_id", "reviewer_key", pairs.alias("p")).select("unit_pk", "forum_id", "reviewer_key", "p.field", "p.txt").where("txt <> ''")
+
+
+def _text_counts(r):
+    review = F.struct("forum_id", "reviewer_key")
+    return r.groupBy("field", "txt").agg(F.count(F.lit(1)).alias("n"), F.count_distinct(review).alias("reviews"), F.count_distinct("forum_id").alias("forums"), F.min("unit_pk").alias("first_pk"), F.max("unit_pk").alias("last_pk"))
+
+
+@query(f"WITH {TEXTS} SELECT * FROM g WHERE reviews >= 2")
+def g47_g48_field_texts(spark, d):
+    """Texts of any field that two or more reviews share; a review is a reviewer of a forum."""
+    return _text_counts(_field_texts(spark, d)).where("reviews >= 2")
+
+
+@query(f"WITH {TEXTS} SELECT r.field, r.txt, r.forum_id, r.reviewer_key, r.unit_pk FROM r JOIN g ON g.field = r.field AND g.txt = r.txt WHERE g.reviews >= 2")
+def g47_g48_text_places(spark, d):
+    """Where the shared texts stand: a row for each unit, as a list of them has no bound."""
+    r = _field_texts(spark, d)
+    return r.join(_text_counts(r).where("reviews >= 2").select("field", "txt"), ["field", "txt"], "left_semi").select("field", "txt", "forum_id", "reviewer_key", "unit_pk")
+
+
+@query(f"WITH {TEXTS} SELECT field, CAST(sum(n) AS BIGINT) instances, count(*) unique_texts, count(*) FILTER (reviews >= 2) reused_texts, max(reviews) most_reviews FROM g GROUP BY 1")
+def g47_field_summary(spark, d):
+    """Texts, distinct texts and shared texts of each field."""
+    g = _text_counts(_field_texts(spark, d))
+    return g.groupBy("field").agg(F.sum("n").alias("instances"), F.count(F.lit(1)).alias("unique_texts"), F.count_if(F.col("reviews") >= 2).alias("reused_texts"), F.max("reviews").alias("most_reviews"))
+
+
 WORDS = "regexp_extract_all(lower(coalesce({0},'')), '[a-z0-9]+')"
 
 

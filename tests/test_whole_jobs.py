@@ -49,3 +49,28 @@ def test_season_has_all_years_submissions_and_window(spark, tmp_path):
     assert [v[1] for (y, *_), v in got.items() if y == 2022] == [False] * 4
     assert len(got) == 4 * (29 + 14 + 1)
     same_as_sql("g42_season_series", df, tmp_path)
+
+
+UNIT = "unit_pk bigint, year int, forum_id string, reviewer_key string, inspected_object string, observation string, reasoning string, judgment string, suggested_improvement string"
+
+
+def test_repeated_texts_of_all_fields_by_review(spark, tmp_path):
+    from delibera.plans import mining
+
+    units = [
+        {"unit_pk": 1, "forum_id": "f", "reviewer_key": "a", "observation": "No  Code", "judgment": "weak", "reasoning": " "},
+        {"unit_pk": 2, "forum_id": "f", "reviewer_key": "b", "observation": "no code ", "reasoning": "weak"},
+        {"unit_pk": 3, "forum_id": "g", "reviewer_key": "a", "judgment": "Weak", "suggested_improvement": "add"},
+        {"unit_pk": 4, "forum_id": "g", "reviewer_key": "a", "suggested_improvement": "add"},
+    ]
+    units.append(units[0])
+    d = tables(spark, tmp_path, units=(units, UNIT))
+    df = mining.g47_g48_field_texts(spark, d)
+    assert {tuple(r) for r in df.collect()} == {("observation", "no code", 2, 2, 1, 1, 2), ("judgment", "weak", 2, 2, 2, 1, 3)}
+    same_as_sql("g47_g48_field_texts", df, tmp_path)
+    places = mining.g47_g48_text_places(spark, d)
+    assert {(r.field, r.unit_pk) for r in places.collect()} == {("observation", 1), ("observation", 2), ("judgment", 1), ("judgment", 3)}
+    same_as_sql("g47_g48_text_places", places, tmp_path)
+    summary = mining.g47_field_summary(spark, d)
+    assert {tuple(r) for r in summary.collect()} == {("observation", 2, 1, 1, 2), ("judgment", 2, 1, 1, 2), ("reasoning", 1, 1, 0, 1), ("suggested_improvement", 2, 1, 0, 1)}
+    same_as_sql("g47_field_summary", summary, tmp_path)
