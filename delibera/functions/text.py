@@ -100,6 +100,22 @@ def numbered_lines(text: Column, prefix: str) -> Column:
     return F.array_join(F.transform(F.split(text, "\n"), lambda line, i: F.concat(F.lit(f"[{prefix}:L"), F.lpad((i + 1).cast("string"), 3, "0"), F.lit("] "), line)), "\n")
 
 
+#: Where a line ends, as in Python's splitlines.
+BREAKS = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
+
+
+def lines(text: Column) -> Column:
+    """The lines of a text without their ends; a break at the end of the text begins no line. An empty text is one line."""
+    found = F.split(text, BREAKS)
+    return F.when((F.size(found) > 1) & (F.element_at(found, -1) == ""), F.slice(found, 1, F.size(found) - 1)).otherwise(found)
+
+
+def identified_lines(text: Column, prefix: Column) -> Column:
+    """Each line after ``[prefix:L001]``; numbers above 999 keep all their digits."""
+    number = lambda i: F.when(i < 1000, F.lpad(i.cast("string"), 3, "0")).otherwise(i.cast("string"))
+    return F.array_join(F.transform(lines(text), lambda line, i: F.concat(F.lit("["), prefix, F.lit(":L"), number(i + 1), F.lit("] "), line)), "\n")
+
+
 def line_references(text: Column) -> Column:
     """Every line that references like ``M-x:L010-L012`` name, ranges written out (both ends and all between)."""
     refs = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[A-Z]-[a-z]+:L\d+(?:-L\d+)?"), F.lit(0))

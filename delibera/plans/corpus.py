@@ -243,7 +243,17 @@ def j6_t2_unprocessed(spark, d):
 
 @query(f"WITH {NOTES} SELECT note_id, replace(string_agg('[M:L' || lpad(CAST(i AS VARCHAR), 3, '0') || '] ' || line, chr(10) ORDER BY i), chr(10), chr(10)) numbered FROM (SELECT note_id, unnest(string_split(content_text, chr(10))) line, generate_subscripts(string_split(content_text, chr(10)), 1) i FROM m WHERE kind = 'decision' AND content_text IS NOT NULL) GROUP BY 1")
 def w18_line_numbers(spark, d):
+    """Decisions alone, as the SQL has it; w18_note_lines has every note."""
     return base.notes(spark, d).where("kind = 'decision' AND content_text IS NOT NULL").select("note_id", T.numbered_lines(F.col("content_text"), "M").alias("numbered"))
 
 
+@query(f"""WITH {NOTES}, s AS (SELECT note_id, forum_id, regexp_split_to_array(content_text, '{T.BREAKS}') l FROM m WHERE content_text IS NOT NULL), t AS (SELECT note_id, forum_id, CASE WHEN len(l) > 1 AND l[-1] = '' THEN list_slice(l, 1, len(l) - 1) ELSE l END l FROM s)
+ SELECT note_id, forum_id, len(l) n, array_to_string(list_transform(l, lambda x, i: '[M-' || coalesce(note_id, '') || ':L' || printf('%03d', i) || '] ' || x), chr(10)) numbered FROM t""")
+def w18_note_lines(spark, d):
+    """The numbered lines of every note that has a text; ``M-`` and the note's id before the number."""
+    t = F.col("content_text")
+    n = base.notes(spark, d).where("content_text IS NOT NULL")
+    return n.select("note_id", "forum_id", F.size(T.lines(t)).cast("bigint").alias("n"), T.identified_lines(t, F.concat(F.lit("M-"), F.coalesce("note_id", F.lit("")))).alias("numbered"))
+
+
 QUERIES = Q

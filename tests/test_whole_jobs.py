@@ -74,3 +74,17 @@ def test_repeated_texts_of_all_fields_by_review(spark, tmp_path):
     summary = mining.g47_field_summary(spark, d)
     assert {tuple(r) for r in summary.collect()} == {("observation", 2, 1, 1, 2), ("judgment", 2, 1, 1, 2), ("reasoning", 1, 1, 0, 1), ("suggested_improvement", 2, 1, 0, 1)}
     same_as_sql("g47_field_summary", summary, tmp_path)
+
+
+def test_every_note_gets_line_numbers(spark, tmp_path):
+    from delibera.plans import corpus
+
+    texts = {"official_review": "a\n\nb", "comment": "a\r\nb\n", "meta_review": "", "decision": "x\u2028y", "official_comment": "\n".join("l" * 1001), "withdrawal": None}
+    notes = [{"year": 2020, "note_id": k, "forum_id": "f", "kind": k, "content_text": t} for k, t in texts.items()]
+    d = tables(spark, tmp_path, messages=(notes, NOTE))
+    df = corpus.w18_note_lines(spark, d)
+    got = {r.note_id: r.numbered for r in df.collect()}
+    number = lambda k, t: "\n".join(f"[M-{k}:L{i:03d}] {x}" for i, x in enumerate(t.splitlines() or [""], 1))
+    assert got == {k: number(k, t) for k, t in texts.items() if t is not None}
+    assert "[M-official_comment:L1001] l" in got["official_comment"]
+    same_as_sql("w18_note_lines", df, tmp_path)
