@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -94,3 +94,17 @@ def convex_hulls(df: DataFrame, key: str, x: str, y: str) -> DataFrame:
 
     reduced = df.select(key, F.col(x).cast("double").alias(x), F.col(y).cast("double").alias(y)).dropna().mapInPandas(part, f"{key} {kinds[key]}, {x} double, {y} double")
     return reduced.groupBy(key).applyInPandas(whole, f"{key} {kinds[key]}, corner int, {x} double, {y} double")
+
+
+def dense_core(df: DataFrame, key: str, x: str, y: str, order: str, share: float = 0.6, least: int = 50) -> DataFrame:
+    """Of each key the ``share`` of its points nearest to their mean, at least ``least`` of them (ties by ``order``)."""
+    mean = df.groupBy(F.col(key).alias("_k")).agg(F.avg(x).alias("_x"), F.avg(y).alias("_y"), F.count(F.lit(1)).alias("_n"))
+    far = F.pow(F.col(x) - F.col("_x"), 2) + F.pow(F.col(y) - F.col("_y"), 2)
+    ranked = df.join(mean, F.col(key).eqNullSafe(F.col("_k"))).withColumn("_rn", F.row_number().over(Window.partitionBy(key).orderBy(far, order)))
+    return ranked.where(F.col("_rn") <= F.greatest(F.lit(least), F.floor(F.col("_n") * share))).drop("_k", "_x", "_y", "_n", "_rn")
+
+
+def majority(df: DataFrame, key: str, category: str) -> DataFrame:
+    """Rows and most frequent category of each key (ties: the least)."""
+    c = df.groupBy(key, category).agg(F.count(F.lit(1)).alias("_n"))
+    return c.groupBy(key).agg(F.sum("_n").alias("n"), F.min(F.struct((-F.col("_n")).alias("m"), F.col(category).alias("c")))["c"].alias(category))

@@ -9,7 +9,7 @@ from delibera.functions import text as T
 from delibera.functions.sql import UNITS, cascade
 from delibera.operators import vectors as V
 from delibera.plans import base
-from delibera.runtime import read
+from delibera.runtime import cut, read
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -158,12 +158,6 @@ def m14_grid(spark, d):
     return V.grid_cells(p, ["x", "y"]).select("vec_id", "q_x", "q_y")
 
 
-@query(None)
-def m15_hulls(spark, d):
-    p = read(spark, d, "embeddings").select("label", F.col("embedding")[0].alias("x"), F.col("embedding")[1].alias("y"))
-    return V.convex_hulls(p, "label", "x", "y")
-
-
 @query(None)
 def m4_plane(spark, d):
     """The first two principal components, in place of a learned two-dimensional layout."""
@@ -175,6 +169,19 @@ def m4_plane(spark, d):
     return p.select("vec_id", "label", F.round(F.col("p")[0], 5).alias("x"), F.round(F.col("p")[1], 5).alias("y"))
 
 
+@query(None)
+def m15_hulls(spark, d):
+    """Regions of the plane of m4_plane by k-means: points, most frequent label, and the hull of the dense core."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    p = m4_plane(spark, d).withColumn("v", array_to_vector(F.array("x", "y")))
+    model = KMeans(k=22, seed=7, featuresCol="v", predictionCol="region").fit(p)
+    r = cut(model.transform(p).select("region", "vec_id", "label", "x", "y"), "regions")
+    h = V.convex_hulls(V.dense_core(r, "region", "x", "y", "vec_id"), "region", "x", "y")
+    return h.join(V.majority(r, "region", "label"), "region").select("region", "n", "label", "corner", "x", "y")
+
+
 @query(None)
 def m5_m6_kmeans_with_noise(spark, d):
     """k-means with the farthest twentieth of each cluster marked as noise (cluster -1)."""

@@ -88,3 +88,33 @@ def test_every_note_gets_line_numbers(spark, tmp_path):
     assert got == {k: number(k, t) for k, t in texts.items() if t is not None}
     assert "[M-official_comment:L1001] l" in got["official_comment"]
     same_as_sql("w18_note_lines", df, tmp_path)
+
+
+def test_hulls_are_of_the_dense_core(spark):
+    from delibera.operators import vectors as V
+
+    near = [("a", i, float(i % 10), float(i // 10), "big" if i % 3 else "small") for i in range(100)]
+    far = [("a", 100 + i, 1000.0 * (-1) ** i, 500.0 * (-1) ** i, "small") for i in range(10)]
+    few = [("b", 200 + i, float(i), float(i * i), "small" if i % 2 else "big") for i in range(6)]
+    df = spark.createDataFrame(near + far + few, "k string, id int, x double, y double, c string")
+    core = V.dense_core(df, "k", "x", "y", "id")
+    mx, my = (sum(r[i] for r in near + far) / 110 for i in (2, 3))
+    want = sorted((((r[2] - mx) ** 2 + (r[3] - my) ** 2, r[1]) for r in near + far))[:66]
+    assert sorted(r.id for r in core.where("k = 'a'").collect()) == sorted(i for _, i in want)
+    assert core.where("k = 'b'").count() == 6 and core.where("id BETWEEN 100 AND 109").count() == 0
+    h = V.convex_hulls(core, "k", "x", "y").where("k = 'a'").collect()
+    assert all(0 <= r.x <= 9 and 0 <= r.y <= 9 for r in h)
+    assert V.dense_core(df.where("id < 60"), "k", "x", "y", "id").count() == 50
+    assert {tuple(r) for r in V.majority(df, "k", "c").collect()} == {("a", 110, "big"), ("b", 6, "big")}
+
+
+def test_hull_query_has_region_size_and_majority(spark, tmp_path):
+    import numpy as np
+
+    from delibera.plans import mining
+
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(v) for v in rng.normal(size=4)], i % 3) for i in range(600)]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = mining.m15_hulls(spark, str(tmp_path)).collect()
+    assert sum({r.region: r.n for r in got}.values()) == 600 and len({r.region for r in got}) == 22 and {r.label for r in got} <= {0, 1, 2}
