@@ -118,3 +118,20 @@ def test_hull_query_has_region_size_and_majority(spark, tmp_path):
     spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
     got = mining.m15_hulls(spark, str(tmp_path)).collect()
     assert sum({r.region: r.n for r in got}.values()) == 600 and len({r.region for r in got}) == 22 and {r.label for r in got} <= {0, 1, 2}
+
+
+def test_classifier_scores_and_predictions(spark):
+    from delibera.operators import classify as K
+
+    t = spark.createDataFrame([("It should be clear, without cost",), (None,), ("w " * 90,)], "t string")
+    assert [r[0] for r in t.select(K.surface(F.col("t"))).collect()] == [[1, 1, 0, 0, 0, 1, 0, 1, 0.1], [0] * 9, [0] * 8 + [1]]
+    pred = spark.createDataFrame([(0, 0.0, 0.0), (0, 0.0, 1.0), (0, 1.0, 1.0), (1, 1.0, 1.0), (1, 2.0, 1.0)], "fold int, label double, prediction double")
+    got = {(r.fold, r["class"]): (r.n, r.accuracy, r.f1) for r in K.scores(pred).collect()}
+    assert got[None, 0] == (2, None, 0.6667) and got[None, 1] == (2, None, 0.6667) and got[None, 2] == (1, None, 0.0)
+    assert got[None, None] == (5, 0.6, 0.4444) and got[1, None] == (2, 0.5, 0.3333)
+    rows = [(i, [0.0, 0.0], "must" if i % 2 else "might", float(i % 2) if i < 60 else None) for i in range(80)]
+    df = spark.createDataFrame(rows, "id int, v array<float>, t string, label double").select("id", "label", K.features(F.col("v"), F.col("t")).alias("features"))
+    every = K.inferred(df, "id")  # the texts alone tell the classes apart
+    assert {(r.id, r.prediction) for r in every.collect()} == {(i, float(i % 2)) for i in range(80)}
+    assert K.held_out(df, "id").where("label = prediction").count() == 60
+    assert {tuple(r) for r in K.crosstab(every, "label").collect()} == {(0.0, 0.0, 30), (1.0, 1.0, 30), (None, 0.0, 10), (None, 1.0, 10)}
