@@ -14,12 +14,63 @@ def chunked_parquet(df: DataFrame, path: str, rows: int = 250_000) -> None:
     df.write.option("compression", "zstd").option("maxRecordsPerFile", rows).mode("errorifexists").parquet(path)
 
 
-def json_lines(df: DataFrame, path: str, rows: int = 50_000, most_bytes: int = 1_000_000) -> int:
-    """JSON lines of at most ``rows`` rows a file. Lines over ``most_bytes`` are left out; returns how many."""
-    line = F.to_json(F.struct("*"))
-    wide = df.select(line.alias("value")).withColumn("_n", F.octet_length("value"))
-    wide.where(F.col("_n") <= most_bytes).select("value").write.option("maxRecordsPerFile", rows).mode("errorifexists").text(path)
-    return wide.where(F.col("_n") > most_bytes).count()
+def json_lines(df: DataFrame, path: str, rows: int = 50_000, most_bytes: int = 1_000_000, file_bytes: int = 450_000_000) -> int:
+    """JSON lines, every row of them, in files of at most ``rows`` rows and ``file_bytes`` bytes.
+
+    A line over ``most_bytes`` (or ``file_bytes``) is a file of its own, in a folder ``pack=wide-...``; returns how many
+    are over ``most_bytes``. ``path/_manifest.json`` lists lines, bytes and sha256 of each file, a JSON object a line.
+    """
+    import pandas as pd
+    from pyspark import TaskContext
+
+    def packed(batches):
+        task, pack, wide, used, held = TaskContext.get().partitionId(), 0, 0, 0, 0
+        for pdf in batches:
+            names = []
+            for v in pdf["value"]:
+                size = len(v.encode("utf-8")) + 1  # with the line's end
+                if size - 1 > most_bytes or size > file_bytes:
+                    names.append(f"wide-{task:05d}-{wide:05d}")
+                    wide += 1
+                    continue
+                if held and (held >= rows or used + size > file_bytes):
+                    pack, used, held = pack + 1, 0, 0
+                used, held = used + size, held + 1
+                names.append(f"{task:05d}-{pack:05d}")
+            yield pd.DataFrame({"value": pdf["value"], "pack": names})
+
+    lines = df.select(F.to_json(F.struct("*")).alias("value")).mapInPandas(packed, "value string, pack string")
+    # each pack is of one task, so one file; nothing may split or join tasks between packing and writing
+    lines.write.partitionBy("pack").option("maxRecordsPerFile", 0).mode("errorifexists").text(path)
+    found = _written(df.sparkSession, path)
+    spark, jvm = df.sparkSession, df.sparkSession.sparkContext._jvm
+    held = spark.read.schema("value string, pack string").text(path).groupBy("pack").agg(F.count(F.lit(1)).alias("lines"), F.max(F.octet_length("value")).alias("longest"))
+    counts = {r["pack"]: r for r in held.collect()} if found else {}  # one row a file
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    out = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(jvm.org.apache.hadoop.fs.Path(root, "_manifest.json"), False)
+    try:
+        for name, size, digest in found:
+            out.write(bytearray((json.dumps({"path": name, "lines": counts[name.split("/")[0][5:]]["lines"], "bytes": size, "sha256": digest}) + "\n").encode()))
+    finally:
+        out.close()
+    return sum(r["longest"] > most_bytes for r in counts.values())
+
+
+def _written(spark: SparkSession, path: str) -> list[tuple[str, int, str]]:
+    """(path below ``path``, bytes, sha256) of each data file, read as a stream."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = []
+    for folder in fs.listStatus(root):
+        for f in fs.listStatus(folder.getPath()) if folder.isDirectory() else []:
+            stream = fs.open(f.getPath())
+            try:
+                digest = jvm.org.apache.commons.codec.digest.DigestUtils.sha256Hex(stream)
+            finally:
+                stream.close()
+            out.append((f"{folder.getPath().getName()}/{f.getPath().getName()}", f.getLen(), digest))
+    return sorted(out)
 
 
 def rebuild_partitions(df: DataFrame, path: str, *columns: str) -> None:

@@ -135,3 +135,20 @@ def test_classifier_scores_and_predictions(spark):
     assert {(r.id, r.prediction) for r in every.collect()} == {(i, float(i % 2)) for i in range(80)}
     assert K.held_out(df, "id").where("label = prediction").count() == 60
     assert {tuple(r) for r in K.crosstab(every, "label").collect()} == {(0.0, 0.0, 30), (1.0, 1.0, 30), (None, 0.0, 10), (None, 1.0, 10)}
+
+
+def test_json_lines_keep_every_row_within_bounds(spark, tmp_path):
+    import hashlib
+
+    from delibera.sources import sinks
+
+    texts = {i: "\u00e9" * (300 if i % 10 == 0 else 20) for i in range(60)}
+    df = spark.createDataFrame(list(texts.items()), "i int, t string").repartition(2)
+    path = tmp_path / "out"
+    assert sinks.json_lines(df, str(path), rows=7, most_bytes=500, file_bytes=400) == 6
+    assert {r.i: r.t for r in spark.read.schema("i int, t string").json(str(path)).collect()} == texts
+    files = {str(f.relative_to(path)): f.read_bytes() for f in path.glob("pack=*/*.txt")}
+    manifest = [json.loads(x) for x in (path / "_manifest.json").read_text().splitlines()]
+    assert {m["path"]: (m["bytes"], m["lines"], m["sha256"]) for m in manifest} == {k: (len(v), v.count(b"\n"), hashlib.sha256(v).hexdigest()) for k, v in files.items()}
+    assert all(v.count(b"\n") == 1 if "wide" in k else len(v) <= 400 and v.count(b"\n") <= 7 for k, v in files.items())
+    assert sinks.json_lines(df.limit(0), str(tmp_path / "none")) == 0
