@@ -275,20 +275,23 @@ def found_links(forums: DataFrame, messages: DataFrame) -> DataFrame:
     return nested.unionByName(lists.mapInPandas(_links_of_lists, LINKS)).distinct()
 
 
-TABLES = "forum_id string, source string, table_path string, row_at string, parent_path string, parent_at string, fields string"
+TABLES = "record string, source string, table_path string, row_at string, parent_path string, parent_at string, fields string"
 
 
-def flat_tables(forums: DataFrame, column: str) -> DataFrame:
+def flat_tables(records: DataFrame, column: str, keys: tuple[str, ...] = ("forum_id",)) -> DataFrame:
     """All flat tables of one JSON column in long form: a row for each element of each repeated ancestor.
 
     ``row_at`` is the element's index in each array around it; ``parent_path`` and ``parent_at`` name the
-    row it was nested in. ``fields`` is a JSON object of the row's own leaves.
+    row it was nested in. ``fields`` is a JSON object of the row's own leaves. ``record`` is a digest of the
+    document: one forum is fetched several times, and ``keys``, ``record``, ``table_path`` and ``row_at`` are
+    unique together. Repeated records count once.
     """
+    schema = ", ".join([f"{k} string" for k in keys] + [TABLES])
 
     def run(batches):
         for pdf in batches:
             rows = []
-            for forum, text in zip(pdf["forum_id"], pdf[column]):
+            for *key, record, text in zip(*[pdf[k] for k in keys], pdf["record"], pdf[column]):
                 value = parse(text)
                 if not isinstance(value, (dict, list)):
                     continue
@@ -297,7 +300,8 @@ def flat_tables(forums: DataFrame, column: str) -> DataFrame:
                     for at, fields in found.items():
                         rows.append(
                             (
-                                forum,
+                                *key,
+                                record,
                                 column,
                                 storable(".".join(table)),
                                 ".".join(map(str, at)),
@@ -306,6 +310,7 @@ def flat_tables(forums: DataFrame, column: str) -> DataFrame:
                                 storable(_compact(fields)),
                             )
                         )
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in TABLES.split(", ")], dtype=object)
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")], dtype=object)
 
-    return forums.select("forum_id", column).where(F.col(column).isNotNull()).mapInPandas(run, TABLES)
+    once = records.select(*keys, F.sha2(column, 256).alias("record"), column).where(F.col(column).isNotNull()).dropDuplicates([*keys, "record"])
+    return once.mapInPandas(run, schema)

@@ -19,6 +19,10 @@ def p1_reply_tables(spark, d):
     return nested.flat_tables(read(spark, d, "forums"), "replies_json")
 
 
+def p1_invitation_tables(spark, d):
+    return nested.flat_tables(read(spark, d, "messages"), "invitations_json", ("forum_id", "note_id"))
+
+
 def p3_found(spark, d):
     return drift.found_changes(read(spark, d, "forums"), read(spark, d, "messages"))
 
@@ -47,7 +51,7 @@ def p4_below(spark, d):
     return hierarchy.pairs_below(read(spark, d, "messages"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_submission_tables, p1_reply_tables, p3_found, p3_submissions, p3_notes, p4_found, p4_described, p4_below)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_submission_tables, p1_reply_tables, p1_invitation_tables, p3_found, p3_submissions, p3_notes, p4_found, p4_described, p4_below)}
 #: Walks up from every note. Circles are walked 400 links: what is met after the 200th lies on the circle.
 SQL: dict[str, str] = {
     "p4_found": f"""WITH RECURSIVE {LINK}, w(note_id, at_id, d) AS (SELECT note_id, note_id, 0 FROM ok UNION ALL SELECT w.note_id, ok.pid, w.d + 1 FROM w JOIN ok ON ok.note_id = w.at_id WHERE ok.pid IS NOT NULL AND w.d < 400),

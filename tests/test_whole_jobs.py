@@ -152,3 +152,17 @@ def test_json_lines_keep_every_row_within_bounds(spark, tmp_path):
     assert {m["path"]: (m["bytes"], m["lines"], m["sha256"]) for m in manifest} == {k: (len(v), v.count(b"\n"), hashlib.sha256(v).hexdigest()) for k, v in files.items()}
     assert all(v.count(b"\n") == 1 if "wide" in k else len(v) <= 400 and v.count(b"\n") <= 7 for k, v in files.items())
     assert sinks.json_lines(df.limit(0), str(tmp_path / "none")) == 0
+
+
+def test_rows_of_flat_tables_are_unique_over_fetches(spark):
+    from delibera.operators import nested as N
+
+    docs = [json.dumps({"t": 1, "a": [{"c": 1, "b": [1]}]}), json.dumps({"t": 1, "a": [{"c": 1, "b": [2, 3]}, {"c": 2, "b": []}]})]
+    f = spark.createDataFrame([("f", docs[0]), ("f", docs[1]), ("f", docs[0]), (None, docs[0])], "forum_id string, replies_json string")
+    rows = N.flat_tables(f, "replies_json").collect()
+    at = {(r.forum_id, r.record, r.table_path, r.row_at) for r in rows}
+    assert len(at) == len(rows) and len({r.record for r in rows}) == 2
+    assert all(r.parent_path is None or (r.forum_id, r.record, r.parent_path, r.parent_at) in at for r in rows)
+    m = spark.createDataFrame([("f", "n", '["x","y"]'), ("f", "n", '["x","y"]'), ("f", "o", '["x"]')], "forum_id string, note_id string, invitations_json string")
+    found = N.flat_tables(m, "invitations_json", ("forum_id", "note_id")).where("row_at <> ''").collect()
+    assert sorted((r.note_id, r.row_at, json.loads(r.fields)[""]) for r in found) == [("n", "0", "x"), ("n", "1", "y"), ("o", "0", "x")]
