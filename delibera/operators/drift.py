@@ -252,7 +252,8 @@ def unified(spark: SparkSession, records: DataFrame, table_field: str, inside: s
     """All records in one table: a text column for each field under its last name, the rest in ``other_fields``.
 
     Text stays text, anything else is written as JSON. A record that can't be read has nulls. Fields that
-    belong to no year stay, as a JSON object, in ``other_fields``; nothing is lost.
+    belong to no year stay, as a JSON object, in ``other_fields``; nothing is lost. A record without a year has its
+    fields under the last names they match, the rest in ``other_fields``.
     """
     names = canonical(member_fields(profile(records, table_field, inside), share))[table_field]
     taken: dict[str, str] = {}
@@ -269,6 +270,7 @@ def unified(spark: SparkSession, records: DataFrame, table_field: str, inside: s
             rows = []
             for year, kind, key, doc in zip(pdf["year"], pdf["kind"], pdf["id"], pdf["doc"]):
                 row, other = dict.fromkeys(columns), {}
+                year = None if pd.isna(year) else int(year)
                 row |= {"year": year, "kind": kind, "id": key}
                 for field, value in fields_of(doc, inside).items():
                     column = taken.get(names.get((kind, year, field), field))
@@ -278,8 +280,8 @@ def unified(spark: SparkSession, records: DataFrame, table_field: str, inside: s
                         row[column] = text(value)
                 row["other_fields"] = text(other) if other else None
                 rows.append(row)
-            yield pd.DataFrame(rows, columns=columns)
+            yield pd.DataFrame(rows, columns=columns, dtype=object).astype({"year": "Int32"})
 
     schema = ", ".join(f"`{c}` {'int' if c == 'year' else 'string'}" for c in columns)
-    once = records.where(F.col("year").isNotNull()).dropDuplicates(["year", "kind", "id", "doc"])
+    once = records.dropDuplicates(["year", "kind", "id", "doc"])
     return once.mapInPandas(run, schema)

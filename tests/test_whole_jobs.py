@@ -166,3 +166,15 @@ def test_rows_of_flat_tables_are_unique_over_fetches(spark):
     m = spark.createDataFrame([("f", "n", '["x","y"]'), ("f", "n", '["x","y"]'), ("f", "o", '["x"]')], "forum_id string, note_id string, invitations_json string")
     found = N.flat_tables(m, "invitations_json", ("forum_id", "note_id")).where("row_at <> ''").collect()
     assert sorted((r.note_id, r.row_at, json.loads(r.fields)[""]) for r in found) == [("n", "0", "x"), ("n", "1", "y"), ("o", "0", "x")]
+
+
+def test_records_without_a_year_stay_in_the_unified_table(spark):
+    from delibera.operators import drift as D
+
+    doc = lambda **k: json.dumps(k)
+    rows = [(2020, "k", f"a{i}", doc(title=f"t{i}")) for i in range(5)] + [(None, "k", "x", doc(title="t", odd=1)), (None, "k", "x", doc(title="t", odd=1)), (None, None, "y", None)]
+    df = spark.createDataFrame(rows, "year int, kind string, id string, doc string")
+    got = {r.id: r for r in D.unified(spark, df, "messages.content_json", None).collect()}
+    assert len(got) == 7 and got["a3"].year == 2020 and got["a3"].f_title == "t3"
+    assert (got["x"].year, got["x"].f_title, json.loads(got["x"].other_fields)) == (None, "t", {"odd": 1})
+    assert got["y"].year is None and got["y"].f_title is None
