@@ -1,15 +1,18 @@
 """Full hierarchies from parent-child rows, by tree contraction.
 
-A round rakes the leaves, then splices out an independent set of nodes with one child (unary
-chains). What a round removes is recorded with its parent of that moment and the number of links
-between them. The forest left at the end holds roots only; a node that stays with a parent is its
-own parent, and is what remains of a circle. The records are then undone in reverse: each removed
-node takes root and state from its parent and adds its recorded distance. Rounds grow with the
-logarithm of the node count and the tables shrink from round to round, both ways.
+A round rakes the leaves and splices out an independent set of nodes with one child (unary chains: of neighbours only
+the one of the greatest rank by hash goes, so a third of a chain leaves at a time). What leaves is recorded with its
+parent of that moment, the number of links between them and, where paths are asked for, the nodes spliced out between
+them and the weight of what hung there. Rounds grow with the logarithm of the node count and the tables shrink from
+round to round. In the end only circles are left: nodes that are their own parents.
 
-Nodes need no group that fits into a task: every step is an equi-join or aggregation on a node id.
-Once fewer than ``finish_rows`` nodes with a parent are left, one task ends the contraction by the same two
-steps on arrays; that many rows of two ids each is what it can ever get.
+The records are then undone in reverse: each node takes root, depth, state and path from its parent and adds its own;
+descendants of a raked node are the weight it had, those of a spliced one its weight and what its child has. A record
+whose parent answers the paper needs no look-up, its root is known when it leaves.
+
+There is one way at every size. Nodes need no group that fits into a task: every step is an equi-join or aggregation on
+a node id, and both sides of the joins of a round hold an id once, so that a note with very many answers skews nothing
+but the first look-up of parents and the undoing, which adaptive execution splits.
 
 Defined results: rows without a note_id are left out. Repeated rows of a node count once, the one with the
 latest mdate (ties: the largest row). A node that names itself is a circle of one.
@@ -17,12 +20,10 @@ latest mdate (ties: the largest row). A node that names itself is a circle of on
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from delibera.runtime import cut
+from delibera.runtime import cut, cut_counted
 
 #: White space and invisible characters that may pad an id.
 BLANK = r"[\s   -‏ -  ⁠　﻿]"
@@ -39,157 +40,128 @@ def named(replyto: Column) -> Column:
 
 
 def current(messages: DataFrame, *columns: str) -> DataFrame:
-    """One row for each note_id, that with the latest mdate; partial aggregation precedes the shuffle."""
+    """One row for each note_id, that with the latest mdate (ties: by a hash of the row); partly aggregated before the shuffle."""
+    last = F.struct(F.coalesce(F.col("mdate"), F.lit(-1)), F.xxhash64(*columns))
     row = F.struct(*[F.col(c) for c in columns])
     return (
         messages.where(F.col("note_id").isNotNull())
         .groupBy("note_id")
-        .agg(F.max(F.struct(F.coalesce(F.col("mdate"), F.lit(-1)).alias("_m"), row.alias("_row"))).alias("_last"))
-        .select("note_id", *[F.col(f"_last._row.{c}").alias(c) for c in columns])
+        .agg(F.max_by(row, last).alias("_row"))
+        .select("note_id", *[F.col(f"_row.{c}").alias(c) for c in columns])
     )
 
 
 def linked(notes: DataFrame) -> DataFrame:
-    """(node, parent, start) of notes with forum_id and replyto; start is ``ok`` or ``orphan`` where parent is null."""
+    """(node, parent, start, top) of notes with forum_id and replyto.
+
+    ``start`` is ``ok`` or ``orphan`` where parent is null. ``top`` is ``ok`` where the parent answers the paper.
+    """
     n = notes.select(
         F.col("note_id").alias("node"),
         F.col("forum_id").alias("_forum"),
         F.when(named("replyto") != F.coalesce(F.col("forum_id"), F.lit("")), named("replyto")).alias("_to"),
     )
-    there = notes.select(F.col("note_id").alias("_to"), F.col("forum_id").alias("_in"))
-    asks = n.where(F.col("_to").isNotNull()).join(there, "_to", "left")
+    there = n.select(F.col("node").alias("_to"), F.col("_forum").alias("_in"), F.col("_to").isNull().alias("_first"))
     valid = F.col("_in").eqNullSafe(F.col("_forum")) & F.col("_in").isNotNull()
-    return (
-        n.where(F.col("_to").isNull())
-        .select("node", F.lit(None).cast("string").alias("parent"), F.lit("ok").alias("start"))
-        .unionByName(
-            asks.select(
-                "node",
-                F.when(valid, F.col("_to")).alias("parent"),
-                F.when(~valid, F.lit("orphan")).alias("start"),
-            )
-        )
+    none = F.lit(None).cast("string")
+    asks = n.where(F.col("_to").isNotNull()).join(there, "_to", "left")  # without the rest: nulls would all meet in one task
+    return n.where(F.col("_to").isNull()).select("node", none.alias("parent"), F.lit("ok").alias("start"), none.alias("top")).unionByName(
+        asks.select("node", F.when(valid, F.col("_to")).alias("parent"), F.when(~valid, F.lit("orphan")).alias("start"), F.when(valid & F.col("_first"), F.lit("ok")).alias("top"))
     )
 
 
-def _contract_here(node: np.ndarray, parent: np.ndarray, width: np.ndarray, low: np.ndarray):
-    """Contraction on arrays: index of the end that each link chain comes to, its length, and for circles the least id."""
-    names, code = np.unique(np.concatenate([node, parent]).astype(object), return_inverse=True)
-    n, size = len(names), len(node)
-    up = np.full(n, -1)
-    up[code[:size]] = code[size:]
-    length = np.zeros(n, dtype=np.int64)
-    length[code[:size]] = width
-    least = np.arange(n).astype(object)
-    least[:] = None
-    least[code[:size]] = low
-    alive = up >= 0
-    removed: list[np.ndarray] = []
-    coins = np.random.default_rng(1)
-    while True:
-        inner = alive & (up != np.arange(n))
-        if not inner.any():
-            break
-        kids = np.bincount(up[inner], minlength=n)
-        leaves = np.flatnonzero(inner & (kids == 0))
-        alive[leaves] = False
-        removed.append(leaves)
-        inner = alive & (up != np.arange(n))
-        kids = np.bincount(up[inner], minlength=n)
-        loops = np.bincount(up[alive & ~inner], minlength=n)
-        coin = coins.integers(0, 2, n)
-        pick = inner & (kids == 1) & (loops == 0) & (coin == 1)
-        pick &= ~(pick[np.maximum(up, 0)] & (up >= 0))
-        kid = np.flatnonzero(inner)
-        kid = kid[pick[up[kid]]]
-        over = up[kid]
-        for k, v in zip(kid, over):
-            low_v = min(x for x in (least[k], names[v], least[v]) if x is not None)
-            least[k] = low_v
-        length[kid] += length[over]
-        up[kid] = up[over]
-        alive[over] = False
-        removed.append(over)
-    top, depth, circle = np.arange(n), np.zeros(n, dtype=np.int64), np.full(n, None, dtype=object)
-    for v in np.flatnonzero(alive):
-        circle[v] = min(x for x in (names[v], least[v]) if x is not None)
-    for step in reversed(removed):
-        top[step], depth[step], circle[step] = top[up[step]], depth[up[step]] + length[step], circle[up[step]]
-    return code[:size], names, top, depth, circle
-
-
-def _finish(batches):
-    frames = list(batches)
-    if not frames or not sum(map(len, frames)):
-        return
-    pdf = pd.concat(frames)
-    low = pdf["low"].astype(object).where(pdf["low"].notna(), None).to_numpy()
-    code, names, top, depth, circle = _contract_here(pdf["node"].to_numpy(), pdf["parent"].to_numpy(), pdf["links"].to_numpy(), low)
-    yield pd.DataFrame({"node": names[code], "parent": names[top[code]], "links": depth[code], "low": circle[code]})
-
-
-def resolve(links: DataFrame, finish_rows: int = 100_000) -> DataFrame:
-    """(node, root, depth, state) of every row of ``linked``; state is ok, orphan or cycle."""
-    links = cut(links, "links")
-    ends = links.where(F.col("parent").isNull()).select(
-        "node", F.col("node").alias("root"), F.lit(0).cast("long").alias("depth"), F.col("start").alias("state")
-    )
-    alive = links.where(F.col("parent").isNotNull()).select(
-        "node", "parent", F.lit(1).cast("long").alias("links"), F.lit(None).cast("string").alias("low")
-    )
-    left, taken, seed = alive.count(), [], 0
-    while left > finish_rows:
-        seed += 1
-        moving = alive.where(F.col("node") != F.col("parent"))
-        loops = alive.where(F.col("node") == F.col("parent"))
-        kids = moving.groupBy("parent").agg(F.count(F.lit(1)).alias("_n")).withColumnRenamed("parent", "node")
-        coin = lambda c: F.pmod(F.xxhash64(F.lit(seed), F.col(c)), F.lit(2))  # noqa: B023,E731
-        judged = cut(
-            moving.join(kids, "node", "left").select(
-                "node",
-                "parent",
-                "links",
-                "low",
-                # never two picked nodes in a row: a picked one shows heads, its parent tails
-                F.when(F.col("_n").isNull(), "rake").when((F.col("_n") == 1) & (coin("node") == 1) & (coin("parent") == 0), "splice").otherwise("stay").alias("fate"),
-            ),
-            "judged",
-        )
-        over = judged.where("fate = 'splice'").select(F.col("node").alias("_v"), F.col("parent").alias("_up"), F.col("links").alias("_l"), F.col("low").alias("_low"))
-        still = judged.where("fate = 'stay'").join(over, F.col("parent") == F.col("_v"), "left").select(
-            "node",
-            F.coalesce("_up", "parent").alias("parent"),
-            (F.col("links") + F.coalesce("_l", F.lit(0))).alias("links"),
-            F.when(F.col("_v").isNotNull(), F.least("low", "_v", "_low")).otherwise(F.col("low")).alias("low"),
-        )
-        taken += [judged.where("fate = 'rake'"), judged.where("fate = 'splice'")]
-        alive = cut(still.unionByName(loops), "alive")
-        left = alive.where(F.col("node") != F.col("parent")).count()
-        if not left:
-            break
-    core = alive.coalesce(1).mapInPandas(_finish, "node string, parent string, links long, low string")
-    done = ends.unionByName(_settle(core, ends))
-    for step in reversed(taken):
-        done = done.unionByName(_settle(step.select("node", "parent", "links", "low"), cut(done, "done")))
-    return done
-
-
-def _settle(removed: DataFrame, known: DataFrame) -> DataFrame:
-    """Root, depth and state of removed nodes from those of their parents; what has no known parent is a circle."""
-    above = known.select(F.col("node").alias("parent"), F.col("root").alias("_root"), F.col("depth").alias("_depth"), F.col("state").alias("_state"))
-    found = removed.join(above, "parent", "left")
-    circle = F.col("_root").isNull() | (F.col("_state") == "cycle")
-    return found.select(
-        "node",
-        F.coalesce("_root", "low").alias("root"),
-        F.when(circle, F.lit(-1).cast("long")).otherwise(F.col("_depth") + F.col("links")).alias("depth"),
-        F.when(circle, F.lit("cycle")).otherwise(F.col("_state")).alias("state"),
-    )
-
-
-def found_places(messages: DataFrame, finish_rows: int = 100_000) -> DataFrame:
+#: A round: all rows that are alive, with their fate; a spliced node tells its only child of its own parent. The parts in
+#: braces are those that paths and sizes need besides. The seed is a text, as a number would make each round compile anew.
+_ROUND = """
+WITH kids AS (
+  SELECT parent AS node, count_if(fate = 'stay') AS n, min(CASE WHEN fate = 'stay' THEN node END) AS kid {kids}
+  FROM {table} WHERE node <> parent AND fate <> 'splice' GROUP BY parent
+), alive AS (
+  SELECT t.node, t.parent, t.top, t.links, t.low, k.kid, {alive}
+    CASE WHEN t.node = t.parent THEN 'stay' WHEN coalesce(k.n, 0) = 0 THEN 'rake'
+      WHEN k.n = 1 AND xxhash64('{seed}', t.node) > xxhash64('{seed}', t.parent) AND xxhash64('{seed}', t.node) > xxhash64('{seed}', k.kid) THEN 'splice'
+      ELSE 'stay' END AS fate
+  FROM {table} t LEFT JOIN kids k ON t.node = k.node WHERE t.fate = 'stay'
+), over AS (SELECT * FROM alive WHERE fate = 'splice')
+SELECT a.node, coalesce(o.parent, a.parent) AS parent, CASE WHEN o.node IS NULL THEN a.top ELSE o.top END AS top,
+  a.links + coalesce(o.links, 0) AS links, CASE WHEN o.node IS NULL THEN a.low ELSE least(a.low, o.low, o.node) END AS low, a.kid {told}, a.fate
+FROM alive a LEFT JOIN over o ON o.kid = a.node
+"""
+_PLAIN = {"kids": "", "alive": "", "told": ""}
+#: weight: of a node with all that was raked into it; above: of what was spliced out on the link above it; below: the same on the link to its only child
+_WHOLE = {
+    "kids": ", sum(CASE WHEN fate = 'rake' THEN weight + above END) AS raked, max(CASE WHEN fate = 'stay' THEN above END) AS below",
+    "alive": "t.weight + coalesce(k.raked, 0) AS weight, t.above, coalesce(k.below, 0) AS below, t.via,",
+    "told": ", a.weight, a.above + coalesce(o.above + o.weight, 0) AS above, a.below, CASE WHEN o.node IS NULL THEN a.via ELSE concat(o.via, array(o.node), a.via) END AS via",
+}
+
+
+class Contraction:
+    """The records of a contraction: ``ends``, what left in each round, and the circles left at the end."""
+
+    def __init__(self, links: DataFrame, whole: bool):
+        self.whole, self.spark, self.topped = whole, links.sparkSession, "top" in links.columns
+        if not self.topped:
+            links = links.withColumn("top", F.lit(None).cast("string"))
+        links, seen = cut_counted(links, "links", left=F.col("parent").isNotNull())
+        self.ends = links.where("parent IS NULL").select("node", "start")
+        extra = "1L AS weight, 0L AS above, 0L AS below, CAST(array() AS array<string>) AS via," if whole else ""
+        table = self._sql(f"SELECT node, parent, top, 1L AS links, CAST(NULL AS string) AS low, CAST(NULL AS string) AS kid, {extra} 'stay' AS fate FROM {{t}} WHERE parent IS NOT NULL", t=links)
+        self.rounds: list[DataFrame] = []
+        while seen["left"]:
+            text = _ROUND.format(table="{t}", seed=len(self.rounds), **(_WHOLE if whole else _PLAIN))
+            table, seen = cut_counted(self._sql(text, t=table), "round", left=(F.col("fate") == "stay") & (F.col("node") != F.col("parent")))
+            self.rounds.append(table)
+        self.circles = table.where("fate = 'stay'")
+
+    def _sql(self, text: str, **tables: DataFrame) -> DataFrame:
+        return self.spark.sql(text, **tables)
+
+    def places(self) -> DataFrame:
+        """(node, root, depth, state[, path]) of every node: the rounds undone, the last first."""
+        path = lambda c: f", {c} AS path" if self.whole else ""
+        ends = self._sql(f"SELECT node, node AS root, 0L AS depth, start AS state {path('array(node)')} FROM {{t}}", t=self.ends)
+        circles = self._sql(f"SELECT node, least(node, low) AS root, -1L AS depth, 'cycle' AS state {path('CAST(NULL AS array<string>)')} FROM {{t}}", t=self.circles)
+        # with ``top`` only orphans are looked up of the ends: what is below the others is known by it
+        fixed, undone = (ends.where("state = 'orphan'") if self.topped else ends).unionByName(circles), None
+        text = f"""
+SELECT node, parent AS root, links AS depth, top AS state {path("concat(array(parent), via, array(node))")} FROM {{t}} WHERE fate <> 'stay' AND top IS NOT NULL
+UNION ALL
+SELECT t.node, k.root, CASE WHEN k.state = 'cycle' THEN -1L ELSE k.depth + t.links END, k.state {path("concat(k.path, t.via, array(t.node))")}
+FROM {{t}} t JOIN {{known}} k ON t.parent = k.node WHERE t.fate <> 'stay' AND t.top IS NULL"""
+        for k in range(len(self.rounds) - 1, 0, -1):
+            piece = self._sql(text, t=self.rounds[k], known=fixed if undone is None else fixed.unionByName(undone))
+            undone = cut(piece, "undone", undone)
+        done = ends.unionByName(circles) if undone is None else ends.unionByName(circles).unionByName(undone)
+        if not self.rounds:
+            return done
+        return done.unionByName(self._sql(text, t=self.rounds[0], known=fixed if undone is None else fixed.unionByName(undone)))
+
+    def sizes(self) -> DataFrame:
+        """(node, notes_below) of every node; without meaning on and below circles."""
+        known = roots = None
+        for k in range(len(self.rounds) - 1, -1, -1):
+            gone = self.rounds[k]
+            raked = gone.where("fate = 'rake'").selectExpr("node", "weight AS size")
+            landed = gone.where("fate = 'rake'").selectExpr("parent AS node", "weight + above AS w")
+            roots = landed if roots is None else roots.unionByName(landed)
+            known = raked if known is None else known.unionByName(raked)
+            spliced = self._sql("SELECT t.node, t.weight + t.below + k.size AS size FROM {t} t JOIN {known} k ON t.kid = k.node WHERE t.fate = 'splice'", t=gone, known=known)
+            known = known.unionByName(cut(spliced, "sizes") if k else spliced)
+        if known is None:
+            return self.ends.selectExpr("node", "0L AS notes_below")
+        ends = self._sql("SELECT e.node, coalesce(sum(r.w), 0L) AS notes_below FROM {e} e LEFT JOIN (SELECT node, sum(w) AS w FROM {r} GROUP BY node) r ON e.node = r.node GROUP BY e.node", e=self.ends, r=roots)
+        return known.selectExpr("node", "size - 1 AS notes_below").unionByName(ends)
+
+
+def resolve(links: DataFrame) -> DataFrame:
+    """(node, root, depth, state) of every row of ``linked``, with or without ``top``; state is ok, orphan or cycle."""
+    return Contraction(links, whole=False).places()
+
+
+def found_places(messages: DataFrame) -> DataFrame:
     """Root, depth and link state of every note."""
-    r = resolve(linked(current(messages, "forum_id", "replyto")), finish_rows)
+    r = resolve(linked(current(messages, "forum_id", "replyto")))
     return r.select(
         F.col("node").alias("note_id"),
         F.col("root").alias("root_id"),
@@ -198,53 +170,33 @@ def found_places(messages: DataFrame, finish_rows: int = 100_000) -> DataFrame:
     )
 
 
-def ancestors(links: DataFrame, places: DataFrame) -> DataFrame:
-    """(node, ancestor, distance) of every note and each note above it, by doubling of the reach.
-
-    Rows grow with the summed depth of the trees, which is the size of the asked-for result. Notes on or below a
-    circle have none: their chain has no end.
-    """
-    reach = links.where(F.col("parent").isNotNull()).join(places.where("state != 'cycle'").select("node"), "node", "left_semi")
-    reach = cut(reach.select("node", F.col("parent").alias("ancestor"), F.lit(1).cast("long").alias("distance")), "reach")
-    deepest, span = places.agg(F.max("depth")).first()[0] or 0, 1
-    while span < deepest:
-        far = reach.where(F.col("distance") == span).select("node", F.col("ancestor").alias("_mid"))
-        on = reach.select(F.col("node").alias("_mid"), F.col("ancestor"), (F.col("distance") + span).alias("distance"))
-        reach = cut(reach.unionByName(far.join(on, "_mid").select("node", "ancestor", "distance")), "reach")
-        span *= 2
-    return reach
-
-
 def described(messages: DataFrame) -> DataFrame:
     """For each note its path from the root (ids joined by ``/``), depth, root, state and number of notes below it.
 
-    A note on or below a circle has no path and no count of notes below.
+    A note on or below a circle has no path and no count of notes below. Paths take as much room as the depths of all
+    notes add up to, as their text does.
     """
-    links = cut(linked(current(messages, "forum_id", "replyto")), "linked")
-    places = cut(resolve(links), "places")
-    reach = ancestors(links, places)
-    above = reach.groupBy("node").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("distance", "ancestor")), asc=False), lambda x: x["ancestor"]).alias("_above")
-    )
-    below = reach.groupBy("ancestor").agg(F.count(F.lit(1)).alias("notes_below")).withColumnRenamed("ancestor", "node")
+    done = Contraction(linked(current(messages, "forum_id", "replyto")), whole=True)
     off = F.col("state") == "cycle"
     return (
-        places.join(above, "node", "left")
-        .join(below, "node", "left")
+        done.places()
+        .join(done.sizes(), "node", "left")
         .select(
             F.col("node").alias("note_id"),
             F.col("root").alias("root_id"),
             F.col("depth").cast("int").alias("node_depth"),
             F.col("state").alias("link_state"),
-            F.when(~off, F.concat_ws("/", F.coalesce("_above", F.array().cast("array<string>")), F.array("node"))).alias("path"),
-            F.when(~off, F.coalesce("notes_below", F.lit(0))).alias("notes_below"),
+            F.when(~off, F.array_join("path", "/")).alias("path"),
+            F.when(~off, F.col("notes_below")).alias("notes_below"),
         )
     )
 
 
 def pairs_below(messages: DataFrame) -> DataFrame:
-    """(root side) note_id, (leaf side) below_id and the links between them, for every note and each note below it."""
-    links = cut(linked(current(messages, "forum_id", "replyto")), "linked")
-    return ancestors(links, cut(resolve(links), "places")).select(
-        F.col("ancestor").alias("note_id"), F.col("node").alias("below_id"), F.col("distance").cast("int").alias("links")
-    )
+    """(root side) note_id, (leaf side) below_id and the links between them, for every note and each note below it.
+
+    Read off the paths; the rows are as many as the depths of all notes add up to, which is the size of the asked-for result.
+    """
+    places = Contraction(linked(current(messages, "forum_id", "replyto")), whole=True).places().where("state != 'cycle' AND depth > 0")
+    above = places.select(F.col("node").alias("below_id"), "depth", F.posexplode("path").alias("_at", "note_id"))
+    return above.where(F.col("_at") < F.col("depth")).select("note_id", "below_id", (F.col("depth") - F.col("_at")).cast("int").alias("links"))

@@ -110,7 +110,7 @@ def j24_retry_lineage(spark, d):
     o = base.calls(spark, d).select("job_id", "status", F.row_number().over(order).alias("i"))
     node = F.concat_ws("#", "job_id", F.col("i").cast("string"))
     up = F.when(F.col("i") > 1, F.concat_ws("#", "job_id", (F.col("i") - 1).cast("string")))
-    places = hierarchy.resolve(o.select(node.alias("node"), up.alias("parent"), F.when(F.col("i") == 1, F.lit("ok")).alias("start")))
+    places = hierarchy.resolve(o.select(node.alias("node"), up.alias("parent"), F.when(F.col("i") == 1, F.lit("ok")).alias("start"), F.when(F.col("i") == 2, F.lit("ok")).alias("top")))
     last = o.groupBy("job_id").agg(F.max_by("status", "i").alias("last_status"))
     depth = places.groupBy(F.substring_index("root", "#", 1).alias("job_id")).agg(F.max("depth").cast("int").alias("depth"))
     return depth.join(last, "job_id").select("job_id", "depth", "last_status")
