@@ -15,6 +15,10 @@ def p2_transcripts(spark, d):
     return conversations.conversations(read(spark, d, "messages"))
 
 
+def p2_likely_parents(spark, d):
+    return conversations.likely_parents(read(spark, d, "messages"))
+
+
 def _memos(spark, d):
     return read(spark, d, "memos"), read(spark, d, "api_calls"), read(spark, d, "jobs")
 
@@ -65,7 +69,7 @@ def p9_profile(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (p2_found, p2_transcripts, p5_found, p5_rates, p6_found, p6_clusters, p7_containers, p7_report, p8_found, p8_removal, p9_found, p9_levels, p9_profile)
+    for f in (p2_found, p2_transcripts, p2_likely_parents, p5_found, p5_rates, p6_found, p6_clusters, p7_containers, p7_report, p8_found, p8_removal, p9_found, p9_levels, p9_profile)
 }
 
 

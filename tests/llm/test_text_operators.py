@@ -12,11 +12,11 @@ from delibera.llm import packing as P
 from delibera.llm import reading as R
 from delibera.llm import truncation as T
 
-NOTE = "note_id string, forum_id string, replyto string, role string, cdate long, mdate long, content_text string, bits int"
+NOTE = "note_id string, forum_id string, replyto string, role string, cdate long, mdate long, content_text string, bits int, signature string"
 
 
 def conversations(spark, rows, **kw):
-    df = spark.createDataFrame([(*r, 1) for r in rows], NOTE)
+    df = spark.createDataFrame([(*r, 1, None) for r in rows], NOTE)
     return {(r.conv_id, r.turn, r.note_id) for r in C.conversations(df, **kw).collect()}
 
 
@@ -33,7 +33,7 @@ WHOLE = [
 def test_conversation_is_rebuilt(spark):
     want = {("a", 1, "a"), ("a", 2, "b"), ("a", 3, "d")}
     assert conversations(spark, WHOLE) == want
-    assert conversations(spark, WHOLE, large=1) == want
+    assert conversations(spark, WHOLE, reach=2, block=3) == want
 
 
 @pytest.mark.parametrize(
@@ -55,6 +55,52 @@ def test_unanswered_ones_are_left_out(spark):
     assert conversations(spark, []) == set()
 
 
+NAMES = [a + b + c for a in ("Bal", "Kel", "Mor", "Tas", "Vel") for b in ("ber", "cim", "dor", "lun") for c in ("ato", "enix", "ura", "yst", "ola")]
+
+
+def interleaved(seed=3, threads=12, size=7):
+    """Notes of several threads told alternately in two channels, each answer with a name or number of what it answers; and the true parents."""
+    rng, rows, truth, now = random.Random(seed), [], {}, MS
+    for forum in ("f", "g"):
+        fresh = iter(rng.sample([f"{n}{m}" for n in NAMES for m in ("", "mo")], 2 * threads * size))
+        open_ = [[] for _ in range(threads)]
+        left = [t for t in range(threads) for _ in range(size)]
+        rng.shuffle(left)
+        for k, t in enumerate(left):
+            now += rng.randint(60_000, 3_600_000)
+            names = [next(fresh).capitalize(), str(rng.randint(1000, 99999))]
+            node, past = f"{forum}{k:03d}", open_[t]
+            text = f"we saw {names[0]} at {names[1]}"
+            if past:
+                parent = rng.choice(past[-2:])
+                truth[node] = parent[0]
+                text += f", as for {rng.choice(parent[1])} I would say no"
+            past.append((node, names))
+            rows.append((node, forum, None, rng.choice(["author", "reviewer"]), now, 1, text, 1, None))
+    return rows, truth
+
+
+def test_parents_are_found_without_links(spark):
+    """With every link hidden the likeliest candidates are the planted parents, whatever the blocks."""
+    rows, truth = interleaved()
+    for block in (8192, 96):
+        got = {r.note_id: r.parent_id for r in C.likely_parents(spark.createDataFrame(rows, NOTE)).collect()} if block == 8192 else {
+            r.node: r.guess for r in C.guessed_parents(C.notes_of(spark.createDataFrame(rows, NOTE)), 64, block).collect()
+        }
+        assert sum(got.get(n) == p for n, p in truth.items()) >= 0.9 * len(truth)
+
+
+def test_a_named_note_outweighs_the_rest_and_a_wrong_name_doesnt(spark):
+    """The link is one feature among the others: it wins where the note is there, else time, names and turns decide."""
+    rows, truth = interleaved(4, 3, 5)
+    some = sorted(truth)[:6]
+    first = {"f": "f000", "g": "g000"}
+    shown = [(r[0], r[1], first[r[1]] if r[0] in some[:3] else "gone" if r[0] in some[3:] else None, *r[3:]) for r in rows]
+    got = {r.note_id: (r.parent_id, r.named) for r in C.likely_parents(spark.createDataFrame(shown, NOTE)).collect()}
+    assert all(got[n] == (first[n[0]], True) for n in some[:3])
+    assert all(not got[n][1] and got[n][0] in {r[0] for r in rows} for n in some[3:])
+
+
 def brute_window(doc_words, item_words, exact=12, loose=24):
     best = False
     for a in range(len(doc_words)):
