@@ -12,8 +12,12 @@ UNITS = "u AS (SELECT DISTINCT * FROM units)"
 NOTES = """m AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY note_id
  ORDER BY coalesce(mdate,-1) DESC, content_text DESC NULLS LAST, content_json DESC NULLS LAST) rn FROM messages) WHERE rn = 1)"""
 MEMOS = "memo AS (SELECT DISTINCT * FROM memos)"
-FORUMS = """f AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY year, forum_id
- ORDER BY substr(replace(fetched_at,'T',' '),1,19) DESC NULLS LAST, submission_json DESC NULLS LAST, replies_json DESC NULLS LAST, api_version DESC NULLS LAST, reply_count DESC NULLS LAST) rn FROM forums) WHERE rn = 1)"""
+def instant(column: str) -> str:
+    """Milliseconds of an ISO time with its offset; without one it is UTC."""
+    return f"epoch_ms(TRY_CAST(CASE WHEN regexp_matches({column}, '(Z|[+-]\\d\\d:?\\d\\d)$') THEN {column} ELSE {column} || 'Z' END AS TIMESTAMPTZ))"
+
+
+FORUMS = "f AS (SELECT DISTINCT year, forum_id FROM forums)"
 CALLS = "c AS (SELECT DISTINCT * FROM api_calls)"
 
 

@@ -96,8 +96,13 @@ def shingles(text: Column, n: int) -> Column:
     return F.when(F.size(words) >= n, runs).otherwise(F.array().cast("array<string>"))
 
 
+def padded(number: Column, digits: int) -> Column:
+    """A whole number with zeros in front up to ``digits``; longer ones keep all their digits, null stays null."""
+    return F.when(number.isNotNull(), F.format_string(f"%0{digits}d", number))
+
+
 def numbered_lines(text: Column, prefix: str) -> Column:
-    return F.array_join(F.transform(F.split(text, "\n"), lambda line, i: F.concat(F.lit(f"[{prefix}:L"), F.lpad((i + 1).cast("string"), 3, "0"), F.lit("] "), line)), "\n")
+    return F.array_join(F.transform(F.split(text, "\n"), lambda line, i: F.concat(F.lit(f"[{prefix}:L"), padded(i + 1, 3), F.lit("] "), line)), "\n")
 
 
 #: Where a line ends, as in Python's splitlines.
@@ -112,8 +117,7 @@ def lines(text: Column) -> Column:
 
 def identified_lines(text: Column, prefix: Column) -> Column:
     """Each line after ``[prefix:L001]``; numbers above 999 keep all their digits."""
-    number = lambda i: F.when(i < 1000, F.lpad(i.cast("string"), 3, "0")).otherwise(i.cast("string"))
-    return F.array_join(F.transform(lines(text), lambda line, i: F.concat(F.lit("["), prefix, F.lit(":L"), number(i + 1), F.lit("] "), line)), "\n")
+    return F.array_join(F.transform(lines(text), lambda line, i: F.concat(F.lit("["), prefix, F.lit(":L"), padded(i + 1, 3), F.lit("] "), line)), "\n")
 
 
 def line_references(text: Column) -> Column:
@@ -124,7 +128,7 @@ def line_references(text: Column) -> Column:
         source = F.substring_index(ref, ":", 1)
         low = F.regexp_extract(ref, r":L(\d+)", 1).cast("int")
         high = F.coalesce(F.nullif(F.regexp_extract(ref, r"-L(\d+)$", 1), F.lit("")).cast("int"), low)
-        return F.transform(F.sequence(low, F.greatest(low, high)), lambda n: F.concat(source, F.lit(":L"), F.lpad(n.cast("string"), 3, "0")))
+        return F.transform(F.sequence(low, F.greatest(low, high)), lambda n: F.concat(source, F.lit(":L"), padded(n, 3)))
 
     return F.flatten(F.transform(refs, spell))
 
@@ -142,6 +146,7 @@ def hash_order(seed: str, *keys: str) -> Column:
     return F.sha2(F.concat_ws(":", F.lit(seed), *[F.col(k).cast("string") for k in keys]), 256)
 
 
-def millis_of(iso: Column) -> Column:
-    """Seconds resolution of the two ISO spellings, as a text that sorts by time."""
-    return F.substring(F.regexp_replace(iso, "T", " "), 1, 19)
+def instant_of(iso: Column) -> Column:
+    """Milliseconds since the epoch of an ISO time in any spelling, with its offset; without one it is UTC. Null if it is none."""
+    zoned = F.when(iso.rlike(r"(Z|[+-]\d\d:?\d\d)$"), iso).otherwise(F.concat(iso, F.lit("Z")))
+    return F.unix_millis(zoned.try_cast("timestamp"))

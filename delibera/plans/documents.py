@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from delibera.functions import text as T
-from delibera.functions.sql import CALLS, MEMOS, UNITS, cascade
+from delibera.functions.sql import CALLS, MEMOS, UNITS, cascade, instant
 from delibera.operators import hierarchy
 from delibera.operators import sequence as S
 from delibera.plans import base
@@ -103,10 +103,10 @@ def j22_transitive_mapping(spark, d):
     return topics(spark, d).select("topic", "forum_id").distinct().join(F.broadcast(mp), "topic").select("meta", "forum_id").distinct().groupBy("meta").agg(F.count(F.lit(1)).alias("forums"))  # seven rows
 
 
-@query(f"WITH {CALLS}, o AS (SELECT job_id, status, row_number() OVER (PARTITION BY job_id ORDER BY substr(replace(coalesce(started_at,''),'T',' '),1,19), status, coalesce(completion_tokens,-1)) i FROM c) SELECT job_id, CAST(max(i) - 1 AS INT) depth, arg_max(status, i) last_status FROM o GROUP BY 1")
+@query(f"WITH {CALLS}, o AS (SELECT job_id, status, row_number() OVER (PARTITION BY job_id ORDER BY coalesce({instant('started_at')}, -1), status, coalesce(completion_tokens,-1)) i FROM c) SELECT job_id, CAST(max(i) - 1 AS INT) depth, arg_max(status, i) last_status FROM o GROUP BY 1")
 def j24_retry_lineage(spark, d):
     """Each call of a job is the retry of the one before: lineage to its end by the hierarchy operator."""
-    order = Window.partitionBy("job_id").orderBy(T.millis_of(F.coalesce("started_at", F.lit(""))), "status", F.coalesce("completion_tokens", F.lit(-1)))
+    order = Window.partitionBy("job_id").orderBy(F.coalesce(T.instant_of(F.col("started_at")), F.lit(-1)), "status", F.coalesce("completion_tokens", F.lit(-1)))
     o = base.calls(spark, d).select("job_id", "status", F.row_number().over(order).alias("i"))
     node = F.concat_ws("#", "job_id", F.col("i").cast("string"))
     up = F.when(F.col("i") > 1, F.concat_ws("#", "job_id", (F.col("i") - 1).cast("string")))
@@ -123,11 +123,11 @@ def v18_manifest(spark, d):
     return g
 
 
-@query(f"WITH {UNITS}, n AS (SELECT forum_id, reviewer_key, 'U-' || lpad(CAST(row_number() OVER (PARTITION BY forum_id, reviewer_key ORDER BY unit_index, unit_pk) AS VARCHAR), 3, '0') made, unit_pk, CASE WHEN support_status = 'mixed' AND confidence = 'low' THEN 'memo_inferred' ELSE support_status END status FROM u) SELECT * FROM n")
+@query(f"WITH {UNITS}, n AS (SELECT forum_id, reviewer_key, 'U-' || printf('%03d', row_number() OVER (PARTITION BY forum_id, reviewer_key ORDER BY unit_index, unit_pk)) made, unit_pk, CASE WHEN support_status = 'mixed' AND confidence = 'low' THEN 'memo_inferred' ELSE support_status END status FROM u) SELECT * FROM n")
 def v19_payload_normalization(spark, d):
     u = base.units(spark, d, "forum_id", "reviewer_key", "unit_index", "support_status", "confidence")
-    rn = F.row_number().over(Window.partitionBy("forum_id", "reviewer_key").orderBy("unit_index", "unit_pk")).cast("string")
-    made = F.concat(F.lit("U-"), F.when(F.length(rn) < 3, F.lpad(rn, 3, "0")).otherwise(F.substring(rn, 1, 3)))
+    rn = F.row_number().over(Window.partitionBy("forum_id", "reviewer_key").orderBy("unit_index", "unit_pk"))
+    made = F.concat(F.lit("U-"), T.padded(rn, 3))
     status = F.when((F.col("support_status") == "mixed") & (F.col("confidence") == "low"), "memo_inferred").otherwise(F.col("support_status"))
     return u.select("forum_id", "reviewer_key", made.alias("made"), "unit_pk", status.alias("status"))
 

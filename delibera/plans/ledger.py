@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from delibera.functions import text as T
-from delibera.functions.sql import CALLS, MEMOS, NOTES
+from delibera.functions.sql import CALLS, MEMOS, NOTES, instant
 from delibera.operators import relational as R
 from delibera.operators import sequence
 from delibera.plans import base
@@ -58,12 +58,12 @@ def g53_j21_price_tiers(spark, d):
     return c.select("job_id", "started_at", "prompt_tokens", T.tier(F.col("prompt_tokens"), [(3000, 1.0), (8000, 1.5), (100_000_000, 2.5)]).alias("price"))
 
 
-ST = "substr(replace(coalesce(started_at,''),'T',' '),1,19)"
+ST = f"coalesce({instant('started_at')}, -1)"
 
 
-@query(f"WITH {CALLS}, o AS (SELECT model, job_id, {ST} AS st, coalesce(reserved_microusd, 0) r FROM c), s AS (SELECT *, CAST(sum(r) OVER (PARTITION BY lower(trim(model)) ORDER BY st, job_id, r ROWS UNBOUNDED PRECEDING) AS BIGINT) used FROM o), g AS (SELECT *, min(CASE WHEN used > 500000 THEN st || job_id END) OVER (PARTITION BY lower(trim(model))) gate FROM s) SELECT lower(trim(model)) model, count(*) calls, count(*) FILTER (used <= 500000) admitted, max(used) FILTER (used <= 500000) spent FROM g GROUP BY 1")
+@query(f"WITH {CALLS}, o AS (SELECT model, job_id, {ST} AS st, coalesce(reserved_microusd, 0) r FROM c), s AS (SELECT *, CAST(sum(r) OVER (PARTITION BY lower(trim(model)) ORDER BY st, job_id, r ROWS UNBOUNDED PRECEDING) AS BIGINT) used FROM o), g AS (SELECT *, min(CASE WHEN used > 500000 THEN st END) OVER (PARTITION BY lower(trim(model))) gate FROM s) SELECT lower(trim(model)) model, count(*) calls, count(*) FILTER (used <= 500000) admitted, max(used) FILTER (used <= 500000) spent FROM g GROUP BY 1")
 def t5_budget_gate(spark, d):
-    c = base.calls(spark, d).select(F.lower(F.trim("model")).alias("model"), "job_id", T.millis_of(F.coalesce("started_at", F.lit(""))).alias("at"), F.coalesce("reserved_microusd", F.lit(0)).alias("r"))
+    c = base.calls(spark, d).select(F.lower(F.trim("model")).alias("model"), "job_id", F.coalesce(T.instant_of(F.col("started_at")), F.lit(-1)).alias("at"), F.coalesce("reserved_microusd", F.lit(0)).alias("r"))
     # amounts aren't negative: the running sum passes the cap once, and everything after is closed out
     s = c.withColumn("used", F.sum("r").over(Window.partitionBy("model").orderBy("at", "job_id", "r").rowsBetween(Window.unboundedPreceding, 0)))
     ok = F.col("used") <= 500000
@@ -85,7 +85,7 @@ def t8_token_steps(spark, d):
 
 @query(f"WITH {CALLS}, p AS (SELECT lower(trim(model)) model, status = 'failed' bad, row_number() OVER (PARTITION BY lower(trim(model)) ORDER BY {ST}, job_id, status, coalesce(finish_reason,'')) - 1 pos FROM c), r AS (SELECT *, pos - row_number() OVER (PARTITION BY model ORDER BY pos) i FROM p WHERE bad) SELECT model, CAST(min(pos) AS INT) AS start, count(*) length FROM r GROUP BY model, i HAVING count(*) >= 2")
 def t7_failure_runs(spark, d):
-    c = base.calls(spark, d).select(F.lower(F.trim("model")).alias("model"), T.millis_of(F.coalesce("started_at", F.lit(""))).alias("at"), "job_id", "status", F.coalesce("finish_reason", F.lit("")).alias("fr"), (F.col("status") == "failed").alias("bad"))
+    c = base.calls(spark, d).select(F.lower(F.trim("model")).alias("model"), F.coalesce(T.instant_of(F.col("started_at")), F.lit(-1)).alias("at"), "job_id", "status", F.coalesce("finish_reason", F.lit("")).alias("fr"), (F.col("status") == "failed").alias("bad"))
     return sequence.run_lengths(c, ["model"], ["at", "job_id", "status", "fr"], "bad").where("length >= 2")
 
 
@@ -111,7 +111,7 @@ def t_p16_p24_triage(spark, d):
 
 @query(f"WITH {CALLS}, f AS (SELECT job_id, arg_min(prompt_tokens, {ST}) first_tokens, arg_max(status, ({ST}, status)) last_status, count(*) n FROM c GROUP BY 1) SELECT job_id, first_tokens, last_status, n FROM f WHERE n > 1")
 def t12_retry_merge(spark, d):
-    at = T.millis_of(F.coalesce("started_at", F.lit("")))
+    at = F.coalesce(T.instant_of(F.col("started_at")), F.lit(-1))
     g = base.calls(spark, d).withColumn("at", at).groupBy("job_id").agg(F.min_by("prompt_tokens", "at").alias("first_tokens"), F.max_by("status", F.struct("at", "status")).alias("last_status"), F.count(F.lit(1)).alias("n"))
     return g.where("n > 1")
 

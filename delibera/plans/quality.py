@@ -72,7 +72,7 @@ def v5_v14_counts(spark, d):
 
 @query(f"WITH {NOTES} SELECT note_id, list_sort(json_keys(content_json)) = ['decision'] OR list_sort(json_keys(content_json)) = ['comment','decision'] exact FROM m WHERE kind = 'decision' AND json_valid(content_json)")
 def v6_exact_keys(spark, d):
-    n = base.notes(spark, d).where(F.col("kind") == "decision").where(F.expr("try_parse_json(content_json)").isNotNull())
+    n = base.notes(spark, d, "kind", "content_json").where(F.col("kind") == "decision").where(F.expr("try_parse_json(content_json)").isNotNull())
     keys = F.array_join(F.sort_array(F.json_object_keys("content_json")), ",")
     return n.select("note_id", keys.isin("decision", "comment,decision").alias("exact"))
 
@@ -96,14 +96,14 @@ def v12_generic_phrases(spark, d):
 @query(f"WITH {UNITS}, {NOTES}, a AS (SELECT forum_id, count(DISTINCT reviewer_key) got FROM u WHERE reviewer_role = 'official_reviewer' GROUP BY 1), b AS (SELECT forum_id, count(*) ref FROM m WHERE kind = 'official_review' GROUP BY 1) SELECT forum_id, got, ref, round(got / ref, 6) ratio, got / ref < 0.7 warn FROM a JOIN b USING (forum_id)")
 def v13_recall(spark, d):
     a = base.units(spark, d, "forum_id", "reviewer_role", "reviewer_key").where("reviewer_role = 'official_reviewer'").groupBy("forum_id").agg(F.count_distinct("reviewer_key").alias("got"))
-    b = base.notes(spark, d).where("kind = 'official_review'").groupBy("forum_id").agg(F.count(F.lit(1)).alias("ref"))
+    b = base.notes(spark, d, "kind", "forum_id").where("kind = 'official_review'").groupBy("forum_id").agg(F.count(F.lit(1)).alias("ref"))
     r = F.col("got") / F.col("ref")
     return a.join(b, "forum_id").select("forum_id", "got", "ref", F.round(r, 6).alias("ratio"), (r < 0.7).alias("warn"))
 
 
 @query(f"WITH {NOTES}, {UNITS}, k AS (SELECT DISTINCT forum_id FROM m), p AS (SELECT DISTINCT forum_id, reviewer_role FROM u), c AS (SELECT forum_id, count(*) c FROM p GROUP BY 1) SELECT * FROM (SELECT coalesce(k.forum_id, c.forum_id) forum_id, CASE WHEN k.forum_id IS NULL THEN 'foreign' WHEN c IS NULL THEN 'missing' WHEN c > 1 THEN 'several' END fault FROM k FULL JOIN c ON c.forum_id = k.forum_id) WHERE fault IS NOT NULL")
 def v15_v16_s5_partition(spark, d):
-    return C.partition_faults(base.notes(spark, d), base.units(spark, d, "forum_id", "reviewer_role"), "forum_id", "reviewer_role")
+    return C.partition_faults(base.notes(spark, d, "forum_id"), base.units(spark, d, "forum_id", "reviewer_role"), "forum_id", "reviewer_role")
 
 
 @query(f"WITH {UNITS}, p AS (SELECT CASE WHEN lower(trim(valence)) = 'negative' THEN 'neg' WHEN lower(trim(valence)) = 'positive' THEN 'pos' ELSE 'hedged' END expected, {cascade('judgment', [('not |lack|insuff|fail|unclear', 'neg'), ('accept|useful|sound|thorough', 'pos')], 'hedged')} predicted FROM u) SELECT expected, predicted, count(*) n, round(count(*) / sum(count(*)) OVER (), 6) share FROM p GROUP BY ALL")

@@ -150,10 +150,10 @@ def d11_pairs(spark, d):
     return p.groupBy(*GROUP, "pair").agg(F.count(F.lit(1)).alias("c"), F.min("unit_pk").alias("a"), F.max("unit_pk").alias("b")).where("c = 2").drop("c")
 
 
-@query(f"""WITH {UNITS} SELECT unit_pk, 'U-' || regexp_extract(reviewer_key, '(\\d+)', 1) || '-' || lpad(CAST(unit_index + 1 AS VARCHAR), 2, '0') AS made_id FROM u""")
+@query(f"""WITH {UNITS} SELECT unit_pk, 'U-' || regexp_extract(reviewer_key, '(\\d+)', 1) || '-' || printf('%02d', unit_index + 1) AS made_id FROM u""")
 def w11_ordinal_ids(spark, d):
     u = base.units(spark, d, "reviewer_key", "unit_index")
-    return u.select("unit_pk", F.concat(F.lit("U-"), F.regexp_extract("reviewer_key", r"(\d+)", 1), F.lit("-"), F.when(F.length((F.col("unit_index") + 1).cast("string")) < 2, F.lpad((F.col("unit_index") + 1).cast("string"), 2, "0")).otherwise((F.col("unit_index") + 1).cast("string").substr(1, 2))).alias("made_id"))
+    return u.select("unit_pk", F.concat(F.lit("U-"), F.regexp_extract("reviewer_key", r"(\d+)", 1), F.lit("-"), T.padded(F.col("unit_index") + 1, 2)).alias("made_id"))
 
 
 QUERIES = Q
