@@ -1,7 +1,7 @@
 """Vector operators over ``array<float>`` columns: similarity, centroids, nearest centroid, drift, grids.
 
-The list of centroids is what is broadcast; its rows are checked against ``most``. Beyond that a caller assigns
-block by block. Null vectors are left out.
+Of the centroids at most ``most`` are held by a task at once; more are taken in blocks, and the best of all blocks
+counts. Null vectors are left out.
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from delibera.runtime import cut
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -32,7 +34,7 @@ def nearest(df: DataFrame, vector: str, centers: DataFrame, key: str, most: int
     """``df`` with the key of the nearest centroid and the cosine to it (ties: the least key)."""
     found = centers.orderBy(key).limit(most + 1).collect()
     if len(found) > most:
-        raise ValueError(f"more than {most} centroids; assign in blocks")
+        return _nearest_in_blocks(df, vector, centers, key, most)
     keys, matrix = [r[key] for r in found], np.array([r["centroid"] for r in found], dtype=np.float64)
     schema = ", ".join([f"{c} {t}" for c, t in df.dtypes] + [f"nearest {dict(centers.dtypes)[key]}, cos double"])
 
@@ -50,6 +52,22 @@ def nearest(df: DataFrame, vector: str, centers: DataFrame, key: str, most: int
     return df.mapInPandas(run, schema)
 
 
+def _nearest_in_blocks(df: DataFrame, vector: str, centers: DataFrame, key: str, most: int) -> DataFrame:
+    """``nearest`` for any number of centroids: a pass over ``df`` for each block of them; no task holds more than a block."""
+    from delibera.operators.sequence import ranked
+
+    placed, total = ranked(centers.select(key, "centroid"), [key])
+    numbered = df.withColumn("_row", F.monotonically_increasing_id())
+    numbered = cut(numbered, "rows")
+    best = None
+    for b in range(-(-total // most)):
+        block = placed.where((F.col("rank0") >= b * most) & (F.col("rank0") < (b + 1) * most)).drop("rank0")
+        part = nearest(numbered.select("_row", vector), vector, block, key, most).select("_row", "nearest", "cos")
+        best = part if best is None else best.unionByName(part)
+    won = best.groupBy("_row").agg(F.min(F.struct((-F.col("cos")).alias("far"), "nearest")).alias("_b"))
+    return numbered.join(won, "_row").drop("_row").withColumns({"nearest": F.col("_b.nearest"), "cos": -F.col("_b.far")}).drop("_b")
+
+
 def grid_cells(df: DataFrame, columns: list[str], steps: int = 4095) -> DataFrame:
     """Columns min-max scaled to whole cells 0..steps; constant columns are 0."""
     edges = df.agg(*[f(c).alias(f"{n}_{c}") for c in columns for n, f in (("lo", F.min), ("hi", F.max))]).first()

@@ -19,6 +19,11 @@ def p1_reply_tables(spark, d):
     return nested.flat_tables(read(spark, d, "forums"), "replies_json")
 
 
+def p1_typed_replies(spark, d):
+    """The replies themselves as a typed table: one of the related tables that p1_reply_tables holds in long form."""
+    return nested.typed_table(nested.flat_tables(read(spark, d, "forums"), "replies_json"), "[]")
+
+
 def p1_invitation_tables(spark, d):
     return nested.flat_tables(read(spark, d, "messages"), "invitations_json", ("forum_id", "note_id"))
 
@@ -51,7 +56,7 @@ def p4_below(spark, d):
     return hierarchy.pairs_below(read(spark, d, "messages"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_submission_tables, p1_reply_tables, p1_invitation_tables, p3_found, p3_submissions, p3_notes, p4_found, p4_described, p4_below)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_submission_tables, p1_reply_tables, p1_typed_replies, p1_invitation_tables, p3_found, p3_submissions, p3_notes, p4_found, p4_described, p4_below)}
 _UP = f"""WITH RECURSIVE {LINK}, w(note_id, at_id, d) AS (SELECT note_id, note_id, 0 FROM ok UNION ALL SELECT w.note_id, ok.pid, w.d + 1 FROM w JOIN ok ON ok.note_id = w.at_id WHERE ok.pid IS NOT NULL AND w.d < 400),
  e AS (SELECT w.note_id, w.at_id root_id, w.d node_depth, CASE WHEN ok.parent IS NULL THEN 'ok' ELSE 'orphan' END link_state FROM w JOIN ok ON ok.note_id = w.at_id WHERE ok.pid IS NULL),
  a AS (SELECT note_id, root_id, CAST(node_depth AS INT) node_depth, link_state FROM e UNION ALL SELECT note_id, min(at_id), -1, 'cycle' FROM w WHERE d >= 200 AND note_id NOT IN (SELECT note_id FROM e) GROUP BY 1)"""

@@ -8,11 +8,12 @@ restart goes on where the checkpoint ends. A page that doesn't move the cursor i
 from __future__ import annotations
 
 import glob
+import itertools
 import json
 import os
 import time
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 
 
 def retry(call, attempts: int = 7, first: float = 1.0, most: float = 30.0, sleep=time.sleep):
@@ -29,31 +30,63 @@ def retry(call, attempts: int = 7, first: float = 1.0, most: float = 30.0, sleep
 
 
 class Pages:
-    """A stand-in for a service: rows in id order after a cursor."""
+    """A stand-in for a service that gives rows in id order after a cursor: sorted JSON pages, read through once.
+
+    Ids that don't rise from page to page mean that the service doesn't go on: an error, as going on would never end.
+    """
 
     def __init__(self, folder: str, size: int):
         self.folder, self.size = folder, size
 
+    def fetch(self, path: str) -> list[tuple[str, str]]:
+        with open(path) as f:
+            return [(n["id"], n.get("text")) for n in json.load(f)["notes"]]
+
+    def files(self) -> list[str]:
+        return sorted(glob.glob(os.path.join(self.folder, "*.json")))
+
+    def rows(self, cursor: str, fetch=None):
+        """Rows after ``cursor``; each file is fetched once, with retries."""
+        last = ""
+        for path in self.files():
+            page = (fetch or (lambda p: retry(lambda: self.fetch(p))))(path)
+            if page and page[-1][0] <= last:
+                raise RuntimeError(f"{os.path.basename(path)} doesn't move the cursor beyond {last!r}")
+            for key, text in page:
+                if key > last:  # a row that a page repeats counts once
+                    last = key
+                    if key > cursor:
+                        yield key, text
+
     def after(self, cursor: str) -> list[tuple[str, str]]:
-        rows = {}
-        for path in sorted(glob.glob(os.path.join(self.folder, "*.json"))):
-            with open(path) as f:
-                rows |= {n["id"]: n.get("text") for n in json.load(f)["notes"]}
-        page = sorted((k, v) for k, v in rows.items() if k > cursor)[: self.size]
-        if page and page[-1][0] <= cursor:
-            raise RuntimeError("the page doesn't move the cursor")
-        return page
+        return list(itertools.islice(self.rows(cursor), self.size))
+
+
+class _File(InputPartition):
+    def __init__(self, path: str, before: str):
+        self.path, self.before = path, before
 
 
 class _Batch(DataSourceReader):
+    """A task for each file; it looks at the file before as well, to see that the ids rise."""
+
     def __init__(self, pages: Pages):
         self.pages = pages
 
+    def partitions(self):
+        paths = self.pages.files()
+        return [_File(p, b) for p, b in zip(paths, ["", *paths])] or [_File("", "")]
+
     def read(self, partition):
-        cursor = ""
-        while page := retry(lambda: self.pages.after(cursor), sleep=lambda s: None):  # noqa: B023
-            yield from page
-            cursor = page[-1][0]
+        fetch = lambda path: retry(lambda: self.pages.fetch(path)) if path else []
+        last = max((key for key, _ in fetch(partition.before)), default="")
+        page = fetch(partition.path)
+        if page and page[-1][0] <= last:
+            raise RuntimeError(f"{os.path.basename(partition.path)} doesn't move the cursor beyond {last!r}")
+        for key, text in page:
+            if key > last:
+                last = key
+                yield key, text
 
 
 class _Stream(SimpleDataSourceStreamReader):
@@ -68,13 +101,7 @@ class _Stream(SimpleDataSourceStreamReader):
         return iter(page), {"after": page[-1][0] if page else start["after"]}
 
     def readBetweenOffsets(self, start, end):
-        cursor = start["after"]
-        while cursor < end["after"]:
-            page = [r for r in self.pages.after(cursor) if r[0] <= end["after"]]
-            if not page:
-                break
-            yield from page
-            cursor = page[-1][0]
+        return itertools.takewhile(lambda r: r[0] <= end["after"], self.pages.rows(start["after"]))
 
 
 class PagedNotes(DataSource):

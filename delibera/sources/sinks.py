@@ -89,11 +89,20 @@ def island(payload: object, element: str) -> str:
     return f'<script type="application/json" id="{html.escape(element)}">{json.dumps(payload, ensure_ascii=False).replace("</", "<" + chr(92) + "/")}</script>'
 
 
-def markdown_table(df: DataFrame, most: int = 200) -> str:
-    """A Markdown table of at most ``most`` rows, for reports."""
-    rows = df.limit(most).collect()
-    lines = ["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
-    return "\n".join(lines + ["| " + " | ".join(str(v).replace("|", r"\|") for v in r) + " |" for r in rows])
+def markdown_lines(df: DataFrame, order: list) -> DataFrame:
+    """The lines of a Markdown table of all rows, as rows (line) in the order of ``order`` below the two of the head."""
+    cell = lambda c: F.replace(F.regexp_replace(F.coalesce(F.col(c).cast("string"), F.lit("")), r"\s+", " "), F.lit("|"), F.lit(r"\|"))
+    body = df.orderBy(*order).select(F.concat(F.lit("| "), F.concat_ws(" | ", *[cell(c) for c in df.columns]), F.lit(" |")).alias("line"))
+    head = ["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
+    return df.sparkSession.createDataFrame([(h,) for h in head], "line string").coalesce(1).union(body)
+
+
+def markdown_table(df: DataFrame, order: list, most: int = 10_000) -> str:
+    """A Markdown table of all rows as one text, for reports; an error beyond ``most`` rows, which ``markdown_lines`` writes."""
+    lines = markdown_lines(df, order).limit(most + 3).collect()
+    if len(lines) > most + 2:
+        raise ValueError(f"more than {most} rows; write them with markdown_lines")
+    return "\n".join(r["line"] for r in lines)
 
 
 def snapshot(spark: SparkSession, source: str, folder: str, name: str, keep: int = 3) -> int:

@@ -34,7 +34,7 @@ def rebuild(stripes):
             if d == len(s.steps):
                 k, path = 0, []
                 for step in s.steps:
-                    if step == N.ITEM:
+                    if step is N.ITEM:
                         path.append(at[k])
                         k += 1
                     else:
@@ -100,3 +100,34 @@ def test_flat_tables_keep_links(spark):
     assert rows[("", "")] == (None, None, {"t": 1})
     assert rows[("a.[]", "1")] == ("", "", {"c": "x"})
     assert rows[("a.[].b.[]", "0.1")] == ("a.[]", "0", {"": 3})
+
+
+def test_names_are_no_steps_and_depth_is_no_bound(spark):
+    """Dots and brackets in names are part of the name; a record may be as deep as the parser reads."""
+    assert N.tables(N.shred({"a.b": 1, "a": {"b": 2}})) == {(): {(): {("a.b",): 1, ("a", "b"): 2}}}
+    assert list(N.id_links({"[]": {"id": "x"}}, "F")) == []
+    assert N.spelled(("a.b", N.ITEM, "[]")) == "a\\.b.[].\\[\\]"
+    deep = "[" * 700 + '{"id":"x"}' + "]" * 700
+    over = "[" * 100_000 + '{"id":"x"}' + "]" * 100_000
+    value = {"id": "far"}
+    for _ in range(20_000):
+        value = [value]
+    assert list(N.id_links(value, "F")) == [("F", "far")]
+    f = spark.createDataFrame([("f", deep, None), ("g", over, None)], "forum_id string, submission_json string, replies_json string")
+    m = spark.createDataFrame([], "forum_id string, note_id string, invitations_json string")
+    assert [tuple(r) for r in N.found_links(f, m).collect()] == [("f", "f", "x")]
+
+
+def test_plain_lists_meet_the_level_sequences(monkeypatch):
+    seen = []
+    real = N.shred
+    monkeypatch.setattr(N, "shred", lambda *a, **k: seen.append(1) or real(*a, **k))
+    assert N.strings(["a", "b", ""]) == {"a", "b"} and N.strings("c") == {"c"} and N.strings([]) == set() and len(seen) == 3
+
+
+def test_typed_table(spark):
+    f = spark.createDataFrame([("f", json.dumps([{"id": "a", "n": 1, "x": 1.5, "m": 1, "s": {"t": True}, "z": None}, {"id": "b", "n": 2, "x": 2, "m": "q"}]))], "forum_id string, replies_json string")
+    t = N.typed_table(N.flat_tables(f, "replies_json"), "[]")
+    assert dict(t.dtypes) == {"forum_id": "string", "record": "string", "row_at": "string", "parent_path": "string", "parent_at": "string", "v_id": "string", "v_m": "string", "v_n": "bigint", "v_s_t": "boolean", "v_x": "double", "v_z": "string"}
+    assert {(r.row_at, r.v_id, r.v_n, r.v_x, r.v_m, r.v_s_t) for r in t.collect()} == {("0", "a", 1, 1.5, "1", True), ("1", "b", 2, 2.0, "q", None)}
+    assert N.typed_table(N.flat_tables(f.limit(0), "replies_json"), "[]").count() == 0
