@@ -320,3 +320,21 @@ def test_pools_rise():
 def test_prose_only():
     text = "# Title\n\nFirst line goes on\nand ends here. Second one.\n- item one\n- item two\n\n```\ncode here\n```\n| a | b |\n[1] Ref et al., vol. 3."
     assert R.sentences(text) == ["First line goes on and ends here.", "Second one.", "item one", "item two"]
+
+
+def test_classes_of_cuts_are_fitted():
+    """Planted classes come back from unlabelled counts: cuts at a token limit end with sentences too, whole texts don't run out."""
+    rng = np.random.default_rng(2)
+    kinds = rng.choice(4, 6000, p=[0.88, 0.03, 0.04, 0.05])
+    chance = np.array([30.0, 80.0, 10.0, 880.0])
+    cells = np.zeros((6000, 5), int)
+    for i, k in enumerate(kinds):
+        shape = rng.choice(4, p=chance / chance.sum()) if k else rng.choice([0, 1], p=[0.6, 0.4])
+        cells[i] = (shape, rng.random() < (0.9 if k == 3 else 0.01), 2 if rng.random() < 0.05 else rng.random() < (0.95 if k == 3 else 0.03), k == 1, rng.integers(3, 7) if k in (1, 2) else rng.integers(9, 12))
+    rows, at, n = np.unique(cells, axis=0, return_inverse=True, return_counts=True)
+    share = T.classes(rows, n.astype(float), chance)[at.ravel()]
+    cut = 1 - share[:, 0] > 0.5
+    assert (cut == (kinds > 0)).mean() > 0.99
+    between = (cells[:, 0] == 1) & (kinds == 3)
+    assert (share[between, 3] > 0.5).mean() > 0.8
+    assert T.classes(np.zeros((0, 5), int), np.zeros(0), chance).shape == (0, 4)
