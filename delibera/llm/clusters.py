@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from delibera.runtime import cut, spread
+from delibera.runtime import cut, cut_counted, spread
 
 HALF = 512
 DIM = 2 * HALF
@@ -52,21 +52,39 @@ def _places(word: str) -> tuple[np.ndarray, np.ndarray]:
     return np.array(at), np.array(sign, dtype=np.float32)
 
 
+_UPPER, _LETTERS = bytes(range(65, 91)), bytes([*range(65, 91), *range(97, 123)])
+
+
+def _loud(text: str) -> bool:
+    """Whether much of a text is in capitals."""
+    if text.isascii():
+        raw = text.encode()
+        n = len(raw)
+        return n - len(raw.translate(None, _UPPER)) > 0.4 * max(1, n - len(raw.translate(None, _LETTERS)))
+    return sum(c.isupper() for c in text) > 0.4 * max(1, sum(c.isalpha() for c in text))
+
+
+_starts = re.compile(r"[.;:!?/(]")
+
+
 def words_of(text) -> list[str]:
     """Content words: lower case, without numbers, names (capitals within a sentence) and plural s."""
     if not isinstance(text, str):
         return []
-    text = unicodedata.normalize("NFKC", text)
-    out, loud, last = [], sum(c.isupper() for c in text) > 0.4 * max(1, sum(c.isalpha() for c in text)), None
+    if not text.isascii():
+        text = unicodedata.normalize("NFKC", text)
+    out, loud, last = [], _loud(text), None
     for m in _word.finditer(text):
-        w = m.group()
-        starts = last is None or any(c in ".;:!?/(" for c in text[last : m.start()])
-        name = not loud and not starts and len(w) > 3 and w[0].isupper() and w[1:].islower()
+        w, at = m.group(), last
         last = m.end()
+        if len(w) < 3:
+            continue
         low = w.lower()
-        if name or len(low) < 3 or low in CONNECT:
+        if low in CONNECT:
+            continue
+        if not loud and len(w) > 3 and low != w and w[0].isupper() and w[1:].islower() and at is not None and not _starts.search(text, at, m.start()):
             continue
-        out.append(low[:-1] if len(low) > 4 and low.endswith("s") and not low.endswith(("ss", "us", "is")) else low)
+        out.append(low[:-1] if low[-1] == "s" and len(low) > 4 and not low.endswith(("ss", "us", "is")) else low)
     return out
 
 
@@ -85,25 +103,39 @@ class Weights:
         return self.of.get(word, self.rare)
 
 
-def half(texts: list[list[str]], weight) -> np.ndarray:
-    """A unit vector for each list of words (zero where there are none)."""
-    at, value, row = [], [], []
-    for i, words in enumerate(texts):
-        for w, n in Counter(words).items():
-            a, s = _places(w)
-            at.append(a)
-            value.append(s * np.float32(weight(w) * (1 + 0.5 * (n > 1))))
-            row.append(i)
-    if not at:
+def half(texts: list[str], weight) -> np.ndarray:
+    """A unit vector for each text, given as its content words with spaces between them (zero where there are none)."""
+    sizes = np.fromiter((t.count(" ") + 1 if t else 0 for t in texts), dtype=np.int64, count=len(texts))
+    if not sizes.sum():
         return np.zeros((len(texts), HALF), np.float32)
-    sizes = np.fromiter(map(len, at), dtype=np.int64, count=len(at))
-    flat = np.repeat(np.array(row, dtype=np.int64), sizes) * HALF + np.concatenate(at)
-    v = np.bincount(flat, weights=np.concatenate(value), minlength=len(texts) * HALF).astype(np.float32).reshape(len(texts), HALF)
+    code, words = pd.factorize(np.array(" ".join(t for t in texts if t).split(" "), dtype=object))
+    key, n = np.unique(np.repeat(np.arange(len(texts)), sizes) * len(words) + code, return_counts=True)
+    row, word = key // len(words), key % len(words)
+    places = [_places(w) for w in words]
+    count = np.fromiter((len(a) for a, _ in places), dtype=np.int64, count=len(places))
+    begin = np.cumsum(count) - count
+    take = count[word]
+    at = np.repeat(begin[word] - (np.cumsum(take) - take), take) + np.arange(take.sum())
+    value = np.array([weight(w) for w in words], np.float32)[word] * np.where(n > 1, np.float32(1.5), np.float32(1))
+    flat = np.repeat(row * HALF, take) + np.concatenate([a for a, _ in places])[at]
+    v = np.bincount(flat, weights=np.concatenate([s for _, s in places])[at] * np.repeat(value, take), minlength=len(texts) * HALF).astype(np.float32).reshape(len(texts), HALF)
     return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-6)
 
 
-def vectors(first: list[list[str]], second: list[list[str]], weight) -> np.ndarray:
-    return np.hstack([half(first, weight), np.float32(0.8) * half(second, weight)])
+def vectors(first: pd.Series, second: pd.Series, weight) -> np.ndarray:
+    """Both halves side by side; what repeats within the batch is worked out once."""
+    out = []
+    for texts, scale in ((first, 1.0), (second, 0.8)):
+        code, once = pd.factorize(texts)
+        out.append((np.float32(scale) * half(list(once), weight))[code])
+    return np.hstack(out)
+
+
+def joined_words(texts: pd.Series) -> np.ndarray:
+    """The content words of each text with spaces between them; what repeats within the batch is read once."""
+    code, once = pd.factorize(texts)
+    found = np.array([*(" ".join(words_of(x)) for x in once), ""], dtype=object)
+    return found[code]  # code -1, a null, takes the last
 
 
 class FeatureTree:
@@ -151,11 +183,27 @@ class FeatureTree:
             left = np.flatnonzero(~taken)
         fresh: list[np.ndarray] = []
         while len(left):
-            # what is near to no entry opens one and takes in what is near to it
-            near = x[left] @ x[left[0]] >= self.near
-            near[0] = True
-            fresh.append(left[near])
-            left = left[~near]
+            # what is near to no entry opens one and takes in what is near to it, the first of a part before the later
+            part, left = left[:256], left[256:]
+            near = x[part] @ x[part].T >= self.near
+            np.fill_diagonal(near, True)
+            free, heads, groups = np.ones(len(part), bool), [], []
+            for k in range(len(part)):
+                if free[k]:
+                    group = near[k] & free
+                    free &= ~group
+                    heads.append(part[k])
+                    groups.append(part[group])
+            if len(left):
+                like = x[left] @ x[heads].T
+                best = like.argmax(1)
+                ok = like[np.arange(len(left)), best] >= self.near
+                order = np.argsort(best[ok], kind="stable")
+                rows, at = left[ok][order], best[ok][order]
+                edges = np.searchsorted(at, np.arange(len(heads) + 1))
+                groups = [np.concatenate([g, rows[edges[i] : edges[i + 1]]]) for i, g in enumerate(groups)]
+                left = left[~ok]
+            fresh += groups
         if fresh:
             opened = np.vstack([total[rows].sum(0) for rows in fresh])
             self.n = np.concatenate([self.n, [n[rows].sum() for rows in fresh]])
@@ -166,9 +214,8 @@ class FeatureTree:
             self._grow_tops()
 
     def _absorb(self, entry, n, total, square) -> None:
-        np.add.at(self.n, entry, n)
-        np.add.at(self.sum, entry, total)
-        np.add.at(self.square, entry, square)
+        for held, more in ((self.n, n), (self.sum, total), (self.square, square)):
+            _add_at(held, entry, more)
 
     def _grow_tops(self) -> None:
         """Split nodes that hold more than ``fan`` entries at two far entries, and renew the nodes' directions."""
@@ -186,10 +233,18 @@ class FeatureTree:
                 queue += [x for x in (k, count) if (self.node == x).sum() > self.fan]
                 count += 1
         tops = np.zeros((count, DIM), np.float32)
-        np.add.at(tops, self.node, self.sum)
+        _add_at(tops, self.node, self.sum)
         self.tops = _unit(tops)
 
 
+def _add_at(held: np.ndarray, at: np.ndarray, more: np.ndarray) -> None:
+    """Add each row of ``more`` to its row ``at`` of ``held``; places may repeat."""
+    if len(at):
+        order = np.argsort(at, kind="stable")
+        places, begin = np.unique(at[order], return_index=True)
+        held[places] += np.add.reduceat(more[order], begin, axis=0)
+
+
 def _unit(v: np.ndarray) -> np.ndarray:
     return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
 
@@ -223,18 +278,10 @@ def distinct_units(units: DataFrame, first: str = "inspected_object", second: st
     return units.where(F.col("unit_pk").isNotNull()).groupBy("unit_pk").agg(F.max(row).alias("r")).select("unit_pk", "r.a", "r.b")
 
 
-def word_weights(rows: DataFrame) -> Weights:
+def word_weights(rows: DataFrame, total: int) -> Weights:
     """Document frequencies of all rows. Only words above the rarity floor reach the driver, a bounded number."""
-
-    def run(batches):
-        counts: Counter = Counter()
-        for pdf in batches:
-            for a, b in zip(pdf["a"], pdf["b"]):
-                counts.update({*words_of(a), *words_of(b)})
-        yield pd.DataFrame({"word": list(counts), "n": list(counts.values())}).astype({"word": object, "n": "int64"})
-
-    total = rows.count()
-    counts = rows.mapInPandas(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") > max(3.0, 1e-3 * total))
+    words = rows.select(F.explode(F.array_distinct(F.split(F.concat_ws(" ", F.nullif("a", F.lit("")), F.nullif("b", F.lit(""))), " "))).alias("word")).where("word <> ''")
+    counts = words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max(3.0, 1e-3 * total))
     return Weights({r["word"]: r["n"] for r in counts.toLocalIterator()}, total)
 
 
@@ -252,9 +299,9 @@ def leaf_summary(rows: DataFrame, weights, parts: int, entries: int = 1024, fan_
     def build(batches):
         tree, seen = FeatureTree(entries), False
         for pdf in batches:
+            both = vectors(pdf["a"], pdf["b"], weights.value)
             for a in range(0, len(pdf), 2048):
-                part = pdf.iloc[a : a + 2048]
-                v = vectors([words_of(x) for x in part["a"]], [words_of(x) for x in part["b"]], weights.value)
+                v = both[a : a + 2048]
                 v = v[(v**2).sum(1) > 0]
                 if len(v):
                     seen = True
@@ -286,7 +333,7 @@ def cluster_centers(rows: DataFrame, weights, parts: int, clusters: int, entries
         return np.zeros((0, DIM), np.float32), n
     label = ward(n, centers, clusters)
     total, size = np.zeros((label.max() + 1, DIM)), np.bincount(label, weights=n)
-    np.add.at(total, label, centers * n[:, None])
+    _add_at(total, label, centers * n[:, None])
     order = np.argsort(-size, kind="stable")
     return (total / size[:, None])[order].astype(np.float32), size[order]
 
@@ -303,35 +350,45 @@ def likeness(v: np.ndarray, centers: np.ndarray) -> np.ndarray:
     return dots / np.sqrt(np.maximum(norm * own, 1e-9))
 
 
-def _prepared(units: DataFrame):
+def _prepared(units: DataFrame, texts: bool = False):
+    """(unit_pk, content words of both fields[, first field]) of each unit, in files that a task each reads; their number; word weights.
+
+    Texts are read once; what follows reads the words.
+    """
     spark = units.sparkSession
-    rows = cut(distinct_units(units), "units")
-    tasks = max(spark.sparkContext.defaultParallelism, -(-rows.count() // 25_000))
-    rows = spread(rows, "unit_pk", tasks=tasks)
-    return rows, tasks, spark.sparkContext.broadcast(word_weights(rows))
+    kept = ", text string" if texts else ""
+
+    def run(batches):
+        for pdf in batches:
+            out = {"unit_pk": pdf["unit_pk"], "a": joined_words(pdf["a"]), "b": joined_words(pdf["b"])}
+            yield pd.DataFrame(out | ({"text": pdf["a"]} if texts else {}))
+
+    rows = spread(distinct_units(units), "unit_pk").mapInPandas(run, f"unit_pk long, a string, b string{kept}")
+    rows, seen = cut_counted(rows, "words", rows=F.lit(True))
+    return rows, rows.rdd.getNumPartitions(), spark.sparkContext.broadcast(word_weights(rows, seen["rows"]))
 
 
 def described_clusters(units: DataFrame, clusters: int = 60, members: int = 12) -> DataFrame:
     """(cluster, size, share, exemplars): the members nearest to the centroid, distinct, nearest first."""
-    rows, parts, weights = _prepared(units)
+    rows, parts, weights = _prepared(units, texts=True)
     centers, _ = cluster_centers(rows, weights, parts, clusters)
     known = units.sparkSession.sparkContext.broadcast(centers)
 
     def run(batches):
         for pdf in batches:
-            v = vectors([words_of(x) for x in pdf["a"]], [words_of(x) for x in pdf["b"]], weights.value)
+            v = vectors(pdf["a"], pdf["b"], weights.value)
             has = (v**2).sum(1) > 0
             if not len(known.value) or not has.any():
                 continue
             like = likeness(v[has], known.value)
             best = like.argmax(1)
-            out = pd.DataFrame({"cluster": best.astype(np.int32), "near": like[np.arange(len(best)), best].astype(float), "text": [x.strip() if words_of(x) else "" for x in pdf["a"][has]]})
+            out = pd.DataFrame({"cluster": best.astype(np.int32), "near": like[np.arange(len(best)), best].astype(float), "text": [x.strip() if w else "" for x, w in zip(pdf["text"][has], pdf["a"][has])]})
             size = out.groupby("cluster").size()
             # of the members only the nearest texts of the batch can be among the nearest of all
             near = out[out["text"] != ""].sort_values(["near", "text"], ascending=[False, True]).drop_duplicates(["cluster", "text"]).groupby("cluster").head(members)
             yield pd.concat([near.assign(n=0), pd.DataFrame({"cluster": size.index.astype(np.int32), "near": 0.0, "text": None, "n": size.to_numpy()})]).astype({"n": "int64"})
 
-    part = cut(rows.select("a", "b").mapInPandas(run, "cluster int, near double, text string, n long"), "nearest")
+    part = cut(rows.select("a", "b", "text").mapInPandas(run, "cluster int, near double, text string, n long"), "nearest")
     sizes = part.groupBy("cluster").agg(F.sum("n").alias("size"))
     order = F.struct((-F.round("near", 6)).alias("far"), F.col("text").alias("text"))
     texts = part.where(F.col("text").isNotNull()).groupBy("cluster", "text").agg(F.max("near").alias("near")).groupBy("cluster").agg(F.slice(F.sort_array(F.collect_list(order)), 1, members)["text"].alias("exemplars"))
@@ -378,7 +435,7 @@ def found_matters(units: DataFrame, exemplars: DataFrame, clusters: int = 240, l
     centers, sizes = cluster_centers(rows, weights, parts, clusters)
     if not listed or not len(centers):
         return units.sparkSession.createDataFrame([], schema)
-    directions = np.array([half([words_of(x) for x in texts], weights.value).mean(0) if texts else np.zeros(HALF) for _, texts in listed])
+    directions = np.array([half([" ".join(words_of(x)) for x in texts], weights.value).mean(0) if texts else np.zeros(HALF) for _, texts in listed])
     directions = _unit(directions).astype(np.float32)
     row, about = name_clusters(centers, sizes, directions)
     ids = np.array([i for i, _ in listed])
@@ -387,7 +444,7 @@ def found_matters(units: DataFrame, exemplars: DataFrame, clusters: int = 240, l
     def run(batches):
         centers, row, about = known.value
         for pdf in batches:
-            v = vectors([words_of(x) for x in pdf["a"]], [words_of(x) for x in pdf["b"]], weights.value)
+            v = vectors(pdf["a"], pdf["b"], weights.value)
             has = np.flatnonzero((v**2).sum(1) > 0)
             if not len(has):
                 continue

@@ -182,7 +182,7 @@ def judged(memos: DataFrame, calls: DataFrame, jobs: DataFrame, common: float =
     j = cut(j.withColumns({c: x.cast("int") for c, x in levels.items()}), "evidence")
     found = j.groupBy(*CELL).agg(F.count(F.lit(1)).alias("n")).collect()  # at most the product of LEVELS, 816 rows
     by_chance = {r["chance"]: r["n"] for r in e.groupBy("chance").agg(F.count(F.lit(1)).alias("n")).collect()}
-    share = classes(np.array([[r[c] for c in CELL] for r in found]).reshape(-1, 5), np.array([float(r["n"]) for r in found]), np.array([float(by_chance.get(x, 0)) for x in SHAPES]))
+    share = classes(np.array([[r[c] for c in CELL] for r in found], dtype=int).reshape(-1, 5), np.array([float(r["n"]) for r in found]), np.array([float(by_chance.get(x, 0)) for x in SHAPES]))
     rows = [(*[r[c] for c in CELL], float(1 - w[WHOLE]), float(w[BY_CHARS] + w[BY_TOKENS])) for r, w in zip(found, share)]
     known = e.sparkSession.createDataFrame(rows, ", ".join(f"{c} int" for c in CELL) + ", p_cut double, p_limit double")
     j = j.join(F.broadcast(known), CELL)
