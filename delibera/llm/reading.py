@@ -2,7 +2,8 @@
 
 Prose is taken out of each whole text (headings, list marks, references, code, tables and markup are not prose; a
 line break ends a sentence where the next line starts one). Syntax and vocabulary features are ranked by a linear
-model learned from pairs of graded documents, and its scores become levels by isotonic regression on the grades.
+model learned from pairs of graded documents, and its scores become levels by isotonic regression on the grades of
+documents that the scoring model hasn't seen.
 The model is learned on a bounded sample: of the graded documents the ``sample`` with the least hash of the id, and
 ``pairs`` pairs of them. Everything else covers all documents.
 
@@ -17,6 +18,8 @@ import math
 import re
 import unicodedata
 from collections import Counter, defaultdict
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -43,6 +46,14 @@ _vowels = re.compile(r"[aeiouy]+")
 _invisible = re.compile(r"[­​-‏⁠﻿]")
 
 
+_REFERS = ("[", "cf.", "see also", "http", "(http", "doi:", "arxiv:", "|")  # how the lines begin that ``_reference`` can find
+
+
+def _refers(line: str) -> bool:
+    low = line.lower()
+    return (low.lstrip().startswith(_REFERS) or "et al" in low or "cf. fig" in low) and _reference.search(line) is not None
+
+
 def sentences(text: str) -> list[str]:
     """The sentences of the prose of a text."""
     if not text.isascii():
@@ -55,7 +66,7 @@ def sentences(text: str) -> list[str]:
             continue
         if code:
             continue
-        if not line.strip() or _heading.match(line) or _label.match(line) or _reference.search(line):
+        if not line.strip() or _heading.match(line) or _label.match(line) or _refers(line):
             blocks.append(now)
             now = []
             continue
@@ -81,40 +92,59 @@ def _wrapped(line: str) -> bool:
 NAMES = ["words_per_sentence", "long_sentences", "letters_per_word", "long_words", "very_long_words", "syllables", "hard_words", "subordinate", "commas", "plain_share", "grade_of_words"]
 
 
+@lru_cache(maxsize=200_000)
+def _traits(word: str) -> tuple[int, int, int, int, int, int]:
+    """Letters, whether long, very long or short, syllables, and whether these are many."""
+    n = len(word)
+    beats = max(1, len(_vowels.findall(word)) - (word.endswith("e") and not word.endswith("le")))
+    return n, n >= 7, n >= 11, n <= 4, beats, beats >= 3
+
+
 class Prose:
     __slots__ = ("words", "english", "features", "bag")
 
     def __init__(self, text: str):
         found = sentences(text)
-        tokens = [_word.findall(s) for s in found]
-        low = [[w.lower() for w in t] for t in tokens]
-        flat = [w for t in low for w in t]
-        self.words, self.bag = len(flat), Counter()
+        sizes, everything, names, raised = [], [], [], 0
+        for s in found:
+            tokens = _word.findall(s)
+            low = [w.lower() for w in tokens]
+            sizes.append(len(low))
+            everything += low
+            if s.islower():
+                continue
+            for k, (w, plain) in enumerate(zip(tokens, low)):
+                if w != plain and w[0].isupper():
+                    raised += 1
+                    if k and plain != "i":
+                        names.append(plain)
+        self.words, self.bag = len(everything), Counter(everything)
         n = max(1, self.words)
-        known, other = sum(w in ENGLISH for w in flat), sum(w in OTHER for w in flat)
+        here = self.bag.keys()
+        known, other, subordinate = (sum(self.bag[w] for w in words & here) for words in (ENGLISH, OTHER, SUBORDINATE))
         self.english = known >= 0.1 * n and known > 1.5 * other
-        if not flat:
+        if not everything:
             self.features = np.zeros(len(NAMES))
             return
-        sizes = np.array([len(t) for t in low if t], dtype=float)
         # names are as hard as the reader finds them anywhere: a capital within a sentence is no vocabulary
-        raised = sum(w[0].isupper() for t in tokens for w in t) > 0.5 * n
-        plain = [w for t, l in zip(tokens, low) for k, (w0, w) in enumerate(zip(t, l)) if raised or k == 0 or not w0[0].isupper() or w == "i"]
-        m = max(1, len(plain))
-        self.bag = Counter(plain)
-        beats = {w: max(1, len(_vowels.findall(w)) - (w.endswith("e") and not w.endswith("le"))) for w in self.bag}
+        if raised <= 0.5 * n and names:
+            self.bag.subtract(names)
+            self.bag = Counter({w: c for w, c in self.bag.items() if c})
+        m = max(1, self.bag.total())
+        letters, long, very_long, short, beats, hard = np.fromiter(self.bag.values(), float, len(self.bag)) @ np.fromiter(chain.from_iterable(map(_traits, self.bag)), float, 6 * len(self.bag)).reshape(-1, 6) / m
+        lengths = np.array([k for k in sizes if k], dtype=float)
         self.features = np.array(
             [
-                math.log(sizes.mean()),
-                math.log(np.sort(sizes)[int(0.8 * (len(sizes) - 1))]),
-                sum(map(len, plain)) / m,
-                sum(len(w) >= 7 for w in plain) / m,
-                sum(len(w) >= 11 for w in plain) / m,
-                sum(beats[w] * c for w, c in self.bag.items()) / m,
-                sum(c for w, c in self.bag.items() if beats[w] >= 3) / m,
-                math.log1p(sum(w in SUBORDINATE for w in flat) / len(sizes)),
-                math.log1p(sum(s.count(",") + s.count(";") for s in found) / len(sizes)),
-                sum(len(w) <= 4 for w in plain) / m,
+                math.log(lengths.mean()),
+                math.log(np.sort(lengths)[int(0.8 * (len(lengths) - 1))]),
+                letters,
+                long,
+                very_long,
+                beats,
+                hard,
+                math.log1p(subordinate / len(lengths)),
+                math.log1p(sum(s.count(",") + s.count(";") for s in found) / len(lengths)),
+                short,
                 0.0,
             ]
         )
@@ -160,19 +190,49 @@ def isotonic(score: np.ndarray, grade: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.array([x for p in pools for x in p[:2]]), np.array([p[2] for p in pools for _ in range(2)])
 
 
+def ordered_share(score: np.ndarray, grade: np.ndarray, fold: np.ndarray) -> float:
+    """The share of pairs of one fold with grades apart that the scores put in order; nan without such pairs."""
+    right = pairs = 0
+    for k in np.unique(fold):
+        s, g = score[fold == k], grade[fold == k]
+        a, b = np.triu_indices(len(g), 1)
+        apart = np.abs(g[a] - g[b]) >= 0.5
+        right += (np.sign(s[a] - s[b]) == np.sign(g[a] - g[b]))[apart].sum()
+        pairs += apart.sum()
+    return float(right / pairs) if pairs else float("nan")
+
+
 class Model:
-    def __init__(self, prose: list[Prose], grades: np.ndarray, pairs: int):
-        self.words = word_grades(prose, grades)
+    """Ranker and calibration. No graded document is judged by what was learned from itself: the words of a fold are graded
+    by the other folds, its scores come from a ranker of the other folds, and levels are fitted on these scores."""
+
+    def __init__(self, prose: list[Prose], grades: np.ndarray, pairs: int, folds: int = 5):
         self.middle = float(np.mean(grades))
-        x = np.array([self.vector(p) for p in prose])
+        fold = np.arange(len(prose)) % min(folds, len(prose))
+        x = np.zeros((len(prose), len(NAMES)))
+        for k in np.unique(fold):
+            rest, own = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
+            self.words = word_grades([prose[i] for i in rest], grades[rest])
+            x[own] = [self.vector(prose[i]) for i in own]
         self.mean, self.scale = x.mean(0), x.std(0) + 1e-6
-        self.w = rank_model((x - self.mean) / self.scale, grades, pairs)
-        self.at, self.level = isotonic(self.scores(x), grades)
+        z = (x - self.mean) / self.scale
+        held = np.zeros(len(prose))
+        for k in np.unique(fold):
+            held[fold == k] = z[fold == k] @ rank_model(z[fold != k], grades[fold != k], pairs)
+        self.accuracy = ordered_share(held, grades, fold)
+        self.at, self.level = isotonic(held, grades)
+        self.w = rank_model(z, grades, pairs)
+        self.words = word_grades(prose, grades)
 
     def vector(self, p: Prose) -> np.ndarray:
         v = p.features.copy()
-        known = [(self.words[w], c) for w, c in p.bag.items() if w in self.words]
-        v[-1] = (sum(g * c for g, c in known) + 5 * self.middle) / (sum(c for _, c in known) + 5)
+        total = count = 0.0
+        for w, c in p.bag.items():
+            g = self.words.get(w)
+            if g is not None:
+                total += g * c
+                count += c
+        v[-1] = (total + 5 * self.middle) / (count + 5)
         return v
 
     def scores(self, x: np.ndarray) -> np.ndarray:
@@ -202,8 +262,9 @@ def learn(documents: DataFrame, labels: DataFrame, sample: int = 3000, pairs: in
 LEVELS = "doc_id long, words int, english boolean, score double, level double"
 
 
-def levels(documents: DataFrame, labels: DataFrame, sample: int = 3000, least_words: int = 50) -> DataFrame:
-    """(doc_id, words of prose, english, score, level) of every document; level is null where there is none."""
+def levels(documents: DataFrame, labels: DataFrame, sample: int = 3000, least_words: int = 50, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, keep, words of prose, english, score, level) of every document; level is null where there is none."""
+    schema = ", ".join(["doc_id long", *[f"{c} {dict(documents.dtypes)[c]}" for c in keep], *LEVELS.split(", ")[1:]])
     model = documents.sparkSession.sparkContext.broadcast(learn(documents, labels, sample))
 
     def run(batches):
@@ -217,9 +278,10 @@ def levels(documents: DataFrame, labels: DataFrame, sample: int = 3000, least_wo
                 else:
                     s = known.scores(known.vector(p)[None])
                     rows.append((doc_id, p.words, True, float(s[0]), float(known.levels(s)[0])))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in LEVELS.split(", ")])
+            out = pd.DataFrame(rows, columns=[c.split()[0] for c in LEVELS.split(", ")])
+            yield out.assign(**{c: pdf[c].to_numpy() for c in keep})
 
-    return spread(documents.where(F.col("doc_id").isNotNull()).select("doc_id", "text"), "doc_id").mapInPandas(run, LEVELS)
+    return spread(documents.where(F.col("doc_id").isNotNull()).select("doc_id", "text", *keep), "doc_id").mapInPandas(run, schema)
 
 
 def found_easy(documents: DataFrame, labels: DataFrame, below: float = 1.5) -> DataFrame:
@@ -229,5 +291,5 @@ def found_easy(documents: DataFrame, labels: DataFrame, below: float = 1.5) -> D
 
 def level_profile(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """Documents and words at each level, by kind."""
-    by = levels(documents, labels).join(documents.select("doc_id", "kind"), "doc_id")
+    by = levels(documents, labels, keep=("kind",))
     return by.groupBy("kind", F.round("level").cast("int").alias("level")).agg(F.count(F.lit(1)).alias("documents"), F.sum("words").alias("words"))
