@@ -11,7 +11,7 @@ most 4 runs; longer passages hold longer runs), and 12 unchanged words hold 6: n
 Words of a sentence that stands in ``shared_by`` or more items give no seeds and don't count.
 
 The items are the stated query set; ``items_limit`` bounds their text, as every task gets it. Phrases are searched
-in blocks. A document longer than a shard is indexed in pieces that overlap by more than the longest item.
+in blocks. A document longer than a shard is indexed in pieces, an index for each, that overlap by more than the longest item.
 
 Defined results: null or blank texts and null ids have no rows; an item is a case of each document once.
 """
@@ -54,57 +54,75 @@ _MARKUP = re.compile(r"</?[A-Za-z][^<>\n]{0,80}>|&(?:[A-Za-z]{2,8}|#\d{2,6});")
 
 
 class Squeezed:
-    """Codes of a text's letters and digits, the place of each in the text, and where words begin."""
+    """Codes of a text's letters and digits, and where words begin; the place of each in the text where it is asked for."""
 
-    __slots__ = ("codes", "place", "starts", "bytes")
+    __slots__ = ("codes", "starts", "bytes", "_keep", "_place")
 
     def __init__(self, text: str):
         if text.isascii():
             raw = np.frombuffer(text.encode("ascii"), dtype=np.uint8)
-            codes, place, space = _TABLE[raw], np.arange(len(raw)), _SPACE[raw]
+            codes, place, space = _TABLE[raw], None, _SPACE[raw]
         else:
-            parts = [_codes_of(c) or b"\0" for c in text]
-            codes = np.frombuffer(b"".join(parts), dtype=np.uint8)
+            once, at = np.unique(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32), return_inverse=True)
+            parts = [_codes_of(chr(c)) or b"\0" for c in once]
             sizes = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
-            place = np.repeat(np.arange(len(parts)), sizes)
-            space = np.repeat(np.fromiter((c.isspace() for c in text), dtype=bool, count=len(parts)), sizes)
+            joined, begin = np.frombuffer(b"".join(parts), dtype=np.uint8), np.cumsum(sizes) - sizes
+            space = np.fromiter((chr(c).isspace() for c in once), dtype=bool, count=len(once))[at]
+            if sizes.max() == 1:
+                codes, place = joined[at], None
+            else:
+                take = sizes[at]
+                place = np.repeat(np.arange(len(at)), take)
+                codes = joined[np.repeat(begin[at] - (np.cumsum(take) - take), take) + np.arange(take.sum())]
+                space = space[place]
         if "<" in text or "&" in text:
             drop = np.zeros(len(text), dtype=bool)
             for m in _MARKUP.finditer(text):
                 drop[m.start() : m.end()] = True
-            codes = np.where(drop[place], 0, codes)
+            codes = np.where(drop if place is None else drop[place], 0, codes)
         keep = codes > 0
-        word = np.cumsum(space)[keep]
-        self.codes, self.place = codes[keep], place[keep]
-        self.starts = np.flatnonzero(np.diff(word, prepend=-1))
+        word = np.cumsum(space, dtype=np.int32)[keep]
+        self.codes, self._keep, self._place = codes[keep], keep, place
+        self.starts = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]])) if len(word) else np.zeros(0, np.int64)
         self.bytes = self.codes.tobytes()
 
+    @property
+    def place(self) -> np.ndarray:
+        at = np.flatnonzero(self._keep)
+        return at if self._place is None else self._place[at]
+
     def words(self) -> list[bytes]:
         edges = [*self.starts.tolist(), len(self.codes)]
         return [self.bytes[a:b] for a, b in zip(edges, edges[1:])]
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
-    """Order of all suffixes, by prefix doubling over the groups that are still tied; ``text`` ends with END."""
+    """Order of all suffixes, by prefix doubling over the groups that are still tied; ``text`` ends with END.
+
+    Ties may be sorted in any order: those that are left are told apart by the next doubling.
+    """
     n, k = len(text), 60 // BITS
-    padded = np.concatenate([text, np.zeros(k, np.uint8)])
-    key = np.zeros(n, np.uint64)
-    for j in range(k):
-        key = (key << np.uint64(BITS)) | padded[j : j + n].astype(np.uint64)
-    order = np.argsort(key, kind="stable")
-    edge = np.flatnonzero(np.concatenate([[True], np.diff(key[order]) != 0]))
-    group = np.repeat(edge, np.diff(np.append(edge, n)))
-    rank = np.empty(n, np.int64)
+    padded = np.concatenate([text, np.zeros(k, np.uint8)]).astype(np.uint64)
+    two = padded[:-1] << np.uint64(BITS) | padded[1:]
+    four = two[:-2] << np.uint64(2 * BITS) | two[2:]
+    eight = four[:-4] << np.uint64(4 * BITS) | four[4:]
+    key = eight[:n] << np.uint64(2 * BITS) | two[8 : 8 + n]
+    order = np.argsort(key).astype(np.int32)  # a shard has far fewer letters than 2 ** 31
+    found = key[order]
+    edge = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]])).astype(np.int32)
+    sizes = np.diff(np.append(edge, n))
+    group = np.repeat(edge, sizes)
+    rank = np.empty(n, np.int32)
     rank[order] = group
-    tied = np.flatnonzero(np.repeat(np.diff(np.append(edge, n)) > 1, np.diff(np.append(edge, n))))
+    tied = np.flatnonzero(np.repeat(sizes > 1, sizes))
     while len(tied):
         at = order[tied]
         ahead = at + k
-        later = np.where(ahead < n, rank[np.minimum(ahead, n - 1)], -1) + 1
+        later = np.where(ahead < n, rank[np.minimum(ahead, n - 1)] + 1, 0)
         key = group[tied].astype(np.uint64) << np.uint64(32) | later.astype(np.uint64)
-        by = np.argsort(key, kind="stable")
+        by = np.argsort(key)
         order[tied], key = at[by], key[by]
-        edge = np.flatnonzero(np.concatenate([[True], np.diff(key) != 0]))
+        edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         sizes = np.diff(np.append(edge, len(tied)))
         group[tied] = np.repeat(tied[edge], sizes)
         rank[order[tied]] = group[tied]
@@ -118,17 +136,18 @@ class FMIndex:
         order = suffix_array(text)
         self.n = len(text)
         self.bwt = text[order - 1]
-        self.first = np.searchsorted(np.sort(self.bwt), np.arange((1 << BITS) + 1)).astype(np.int64)
+        self.first = np.concatenate([[0], np.cumsum(np.bincount(self.bwt, minlength=1 << BITS))]).astype(np.int64)
         self.ones, self.zeros, row = [], [], self.bwt
         for b in range(BITS - 1, -1, -1):
             bit = (row >> b) & 1
-            self.ones.append(np.concatenate([[0], np.cumsum(bit, dtype=np.int32)]).astype(np.int32))
+            self.ones.append(np.zeros(len(row) + 1, np.int32))
+            np.cumsum(bit, out=self.ones[-1][1:])
             self.zeros.append(int(len(row) - self.ones[-1][-1]))
             row = np.concatenate([row[bit == 0], row[bit == 1]])
         sampled = order % every == 0
         self.mark = sampled
         self.sample_at = np.cumsum(sampled, dtype=np.int32) - 1
-        self.samples = order[sampled]
+        self.samples = order[sampled].astype(np.int64)
 
     def rank(self, c: np.ndarray, i: np.ndarray) -> np.ndarray:
         """Occurrences of each code ``c`` before row ``i``, level by level of the wavelet matrix."""
@@ -196,22 +215,24 @@ class Items:
             for k in range(len(words) - seed_words + 1):
                 if counts[k : k + seed_words].all():
                     seeds[b"".join(words[k : k + seed_words])].append((at, k))
-        self.seed_words = seed_words
+        self.seed_words, self._blocks = seed_words, None
         self.phrases = list(seeds)
         self.places = list(seeds.values())
         self.longest = max((sum(map(len, w)) for w in self.words), default=0)
 
     def blocks(self, size: int = 20_000):
-        for a in range(0, len(self.phrases), size):
-            part = self.phrases[a : a + size]
-            sizes = np.array([len(p) for p in part])
-            padded = np.zeros((len(part), sizes.max()), np.uint8)
-            for j, p in enumerate(part):
-                padded[j, : len(p)] = np.frombuffer(p, np.uint8)[::-1]
-            yield a, padded, sizes
-
-
-def aligned(doc: Squeezed, words: list[bytes], at: int, k: int, n: int) -> tuple[int, list[int], list[bool]]:
+        """(number of the first, phrases reversed and padded, their sizes) of each block; made once."""
+        if self._blocks is None:
+            self._blocks = []
+            for a in range(0, len(self.phrases), size):
+                part = self.phrases[a : a + size]
+                sizes = np.array([len(p) for p in part])
+                wide = int(sizes.max())
+                self._blocks.append((a, np.frombuffer(b"".join(p[::-1].ljust(wide, b"\0") for p in part), np.uint8).reshape(len(part), wide), sizes))
+        return self._blocks
+
+
+def aligned(doc: Squeezed, words: list[bytes], at: int, k: int, n: int, one_in: int = 8) -> tuple[int, list[int], list[bool]]:
     """Extend a seed (words k..k+n at place ``at``) both ways, replaced words one for one: first word, places, kept or not."""
     text, starts = doc.bytes, doc.starts
     places, kept, cur = [], [], at
@@ -219,9 +240,10 @@ def aligned(doc: Squeezed, words: list[bytes], at: int, k: int, n: int) -> tuple
         places.append(cur)
         kept.append(True)
         cur += len(w)
+    most = len(words) // one_in  # more replaced words in a row no passage of the item can have
     missed, j = 0, k + n
     is_start = lambda p: p >= len(text) or starts[min(np.searchsorted(starts, p), len(starts) - 1)] == p
-    while j < len(words) and cur < len(text) and missed < 4:
+    while j < len(words) and cur < len(text) and missed <= most:
         w = words[j]
         fits = text.startswith(w, cur)
         if fits and not is_start(cur + len(w)):
@@ -236,7 +258,7 @@ def aligned(doc: Squeezed, words: list[bytes], at: int, k: int, n: int) -> tuple
             cur, missed = int(starts[nxt]) if nxt < len(starts) else len(text), missed + 1
         j += 1
     cur, missed, i = at, 0, k
-    while i > 0 and cur > 0 and missed < 4:
+    while i > 0 and cur > 0 and missed <= most:
         w = words[i - 1]
         fits = text.endswith(w, 0, cur)
         if fits and not is_start(cur - len(w)):
@@ -279,17 +301,19 @@ def passage(kept: list[bool], counts: np.ndarray, exact: int = 12, loose: int =
 SPANS = "doc_id long, item_id long, first_char int, last_char int, words int, replaced int"
 
 
-def _shard(docs: list[tuple[int, Squeezed]], items: Items, piece: int) -> list[tuple]:
-    overlap = 2 * items.longest + 64
-    text, begins, owners = [], [], []
-    size = 0
-    for d, (_, doc) in enumerate(docs):
-        for a in range(0, max(1, len(doc.codes)), piece):
-            part = doc.codes[a : a + piece + overlap]
-            text += [part, np.array([GAP], np.uint8)]
-            begins.append(size)
-            owners.append((d, a))
-            size += len(part) + 1
+def _pieces(doc: Squeezed, piece: int, overlap: int):
+    """(where it begins, codes) of the pieces a document is indexed in; each reaches ``overlap`` into the next."""
+    for a in range(0, max(1, len(doc.codes)), piece):
+        yield a, doc.codes[a : a + piece + overlap]
+
+
+def _shard(parts: list[tuple[int, Squeezed, int, np.ndarray]], items: Items) -> list[tuple]:
+    """The passages in the parts (doc_id, document, where the part begins, its codes) of one shard, by one index of all of them."""
+    text, begins, size = [], [], 0
+    for _, _, _, codes in parts:
+        text += [codes, np.array([GAP], np.uint8)]
+        begins.append(size)
+        size += len(codes) + 1
     index = FMIndex(np.concatenate([*text, np.array([END], np.uint8)]))
     begins_a = np.array(begins)
     hits: dict[tuple[int, int], set[tuple[int, int]]] = defaultdict(set)
@@ -303,49 +327,54 @@ def _shard(docs: list[tuple[int, Squeezed]], items: Items, piece: int) -> list[t
         where = index.locate(rows)
         part = np.searchsorted(begins_a, where, side="right") - 1
         for seed, p, at in zip(np.repeat(found, width).tolist(), part.tolist(), (where - begins_a[part]).tolist()):
-            d, offset = owners[p]
             for text_no, k in items.places[base + seed]:
-                hits[d, text_no].add((at + offset, k))
+                hits[p, text_no].add((at + parts[p][2], k))
     out = []
-    for (d, text_no), seeds in hits.items():
-        doc, words, counts = docs[d][1], items.words[text_no], items.counts[text_no]
+    for (p, text_no), seeds in hits.items():
+        doc_id, doc = parts[p][:2]
+        words, counts = items.words[text_no], items.counts[text_no]
         done: set[tuple[int, int]] = set()
+        spot = None
         for at, k in sorted(seeds):
             if (at, k) in done:
                 continue
             i, places, kept = aligned(doc, words, at, k, items.seed_words)
-            done.update((p, i + j) for j, p in enumerate(places) if kept[j])
+            done.update((q, i + j) for j, q in enumerate(places) if kept[j])
             if span := passage(kept, counts[i : i + len(kept)]):
                 a, b = span
-                last = min(places[b] + len(words[i + b]), len(doc.place)) - 1
-                out.append((docs[d][0], items.item[text_no], int(doc.place[places[a]]), int(doc.place[last]), b - a + 1, b - a + 1 - sum(kept[a : b + 1])))
+                spot = doc.place if spot is None else spot
+                last = min(places[b] + len(words[i + b]), len(spot)) - 1
+                out.append((doc_id, items.item[text_no], int(spot[places[a]]), int(spot[last]), b - a + 1, b - a + 1 - sum(kept[a : b + 1])))
     return out
 
 
-def leaked_spans(documents: DataFrame, test_items: DataFrame, shard_chars: int = 1_500_000, items_limit: int = 32_000_000) -> DataFrame:
+def leaked_spans(documents: DataFrame, test_items: DataFrame, shard_chars: int = 500_000, items_limit: int = 32_000_000) -> DataFrame:
     """(doc_id, item_id, first_char, last_char, words, replaced) of each leaked passage."""
     rows = [(r[0], r[1]) for r in test_items.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select("item_id", "text").distinct().toLocalIterator()]
     if sum(len(t) for _, t in rows) > items_limit:
         raise ValueError(f"the test texts exceed {items_limit} characters; search them in parts")
-    spark = documents.sparkSession
-    items = spark.sparkContext.broadcast(sorted(rows))
+    # built once; a task gets it as it is
+    items = documents.sparkSession.sparkContext.broadcast(Items(sorted(rows)))
 
     def run(batches):
-        known = Items(items.value)
-        shard: list[tuple[int, Squeezed]] = []
+        known = items.value
+        overlap = 2 * known.longest + 64
+        shard: list[tuple[int, Squeezed, int, np.ndarray]] = []
         size = 0
         frame = lambda found: pd.DataFrame(found, columns=[c.split()[0] for c in SPANS.split(", ")])
         for pdf in batches:
             for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
                 doc = Squeezed(text)
-                if len(doc.starts) >= known.seed_words:
-                    shard.append((doc_id, doc))
-                    size += len(doc.codes)
-                if size >= shard_chars:
-                    yield frame(_shard(shard, known, shard_chars))
-                    shard, size = [], 0
-        if shard and known.phrases:
-            yield frame(_shard(shard, known, shard_chars))
+                if len(doc.starts) < known.seed_words or not known.phrases:
+                    continue
+                for begin, codes in _pieces(doc, shard_chars, overlap):
+                    shard.append((doc_id, doc, begin, codes))
+                    size += len(codes)
+                    if size >= shard_chars:
+                        yield frame(_shard(shard, known))
+                        shard, size = [], 0
+        if shard:
+            yield frame(_shard(shard, known))
 
     texts = documents.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text")
     return spread(texts, "doc_id").mapInPandas(run, SPANS)

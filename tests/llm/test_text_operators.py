@@ -338,3 +338,29 @@ def test_classes_of_cuts_are_fitted():
     between = (cells[:, 0] == 1) & (kinds == 3)
     assert (share[between, 3] > 0.5).mean() > 0.8
     assert T.classes(np.zeros((0, 5), int), np.zeros(0), chance).shape == (0, 4)
+
+
+def test_long_documents_are_indexed_in_pieces(spark):
+    """A document of many shards has an index of bounded size for each piece, and the passages of the whole."""
+    rng = random.Random(8)
+    item = [rng.choice(VOCAB) + str(rng.randrange(99)) for _ in range(40)]
+    words = [rng.choice(VOCAB) for _ in range(9000)]
+    for at in (0, 3000, 4500, 9000):
+        words[at:at] = item
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(item[:20]) + " and more"), (3, "short")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    whole, cut = ({tuple(r) for r in L.leaked_spans(docs, items, shard_chars=n).collect()} for n in (1_500_000, 2_000))
+    assert whole == cut and len(whole) == 5
+    longest = sum(map(len, item))
+    sizes = [len(codes) for _, codes in L._pieces(L.Squeezed(" ".join(words)), 2_000, 2 * longest + 64)]
+    assert max(sizes) <= 2_000 + 2 * longest + 64 and len(sizes) > 10
+
+
+def test_runs_of_replaced_words_are_bridged():
+    """Five replaced words in a row end no passage of an item long enough to have them."""
+    words = [f"w{i}" for i in range(60)]
+    items = L.Items([(1, " ".join(words))])
+    text = words[:30] + ["zz"] * 5 + words[35:]
+    doc = L.Squeezed(" ".join(text))
+    i, places, kept = L.aligned(doc, items.words[0], doc.bytes.find(b"".join(items.words[0][:6])), 0, 6)
+    assert i == 0 and len(kept) == 60 and sum(kept) == 55
