@@ -65,16 +65,15 @@ def normalized_entropy(df: DataFrame, group: list[str], level: str) -> DataFrame
 
 
 def set_overlap(df: DataFrame, group: list[str], rater: str, item: str) -> DataFrame:
-    """Mean pairwise Jaccard of the raters' item sets in each group.
+    """(group, jaccard, pairs): the Jaccard likeness of the item sets of the raters of a group, with the pairs that have it.
 
-    Each pair of raters of a group is compared once through equi-joins: common items are counted by joining on
-    (group, item), so the rows are common items, never all pairs of items.
+    Raters of one set are a class, and classes are compared, not raters: for a list of k items a group has 2^k classes at
+    most, however many its raters are. Null raters have no pairs; a null item is none; two empty sets are unlike.
     """
-    x = df.select(*group, F.col(rater).alias("r"), F.col(item).alias("i")).distinct()
-    size = x.groupBy(*group, "r").agg(F.count("i").alias("n"))
-    a, b = size.select(*group, F.col("r").alias("a"), F.col("n").alias("na")), size.select(*group, F.col("r").alias("b"), F.col("n").alias("nb"))
-    pairs = a.join(b, group).where("a < b")
-    xa, xb = x.select(*group, F.col("r").alias("a"), "i"), x.select(*group, F.col("r").alias("b"), "i")
-    common = xa.join(xb, [*group, "i"]).where("a < b").groupBy(*group, "a", "b").agg(F.count(F.lit(1)).alias("c"))
-    j = pairs.join(common, [*group, "a", "b"], "left").withColumn("c", F.coalesce("c", F.lit(0)))
-    return j.select(*group, "a", "b", F.coalesce(F.try_divide(F.col("c"), F.col("na") + F.col("nb") - F.col("c")), F.lit(0.0)).alias("jaccard"))
+    sets = df.where(F.col(rater).isNotNull()).groupBy(*group, rater).agg(F.sort_array(F.collect_set(item)).alias("s"))
+    c = sets.groupBy(*group, "s").agg(F.count(F.lit(1)).alias("c"))
+    a, b = (c.select(*group, F.col("s").alias(f"s{k}"), F.col("c").alias(f"c{k}")) for k in "ab")
+    both = a.join(b, group).where("sa <= sb")
+    pairs = F.when(F.col("sa") == F.col("sb"), (F.col("ca") * (F.col("ca") - 1) / 2).cast("long")).otherwise(F.col("ca") * F.col("cb"))
+    like = F.coalesce(F.try_divide(F.size(F.array_intersect("sa", "sb")), F.size(F.array_union("sa", "sb"))), F.lit(0.0))
+    return both.select(*group, like.alias("jaccard"), pairs.alias("pairs")).where("pairs > 0")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from delibera.functions.text import hash_order
-from delibera.operators.sequence import quantile_bins
+from delibera.operators.sequence import quantile_bins, ranked_within
 
 
 def per_stratum(df: DataFrame, strata: list[str], key: str, n: int, seed: str) -> DataFrame:
@@ -42,10 +42,9 @@ def quantile_grid(df: DataFrame, x: str, y: str, key: str, bins: int, per_cell:
 
 def evenly_spaced(df: DataFrame, strata: list[str], by: list[str], n: int) -> DataFrame:
     """``n`` rows of each stratum, evenly spaced along its order, both ends included; all rows of smaller strata."""
-    w = Window.partitionBy(*strata)
-    p = df.withColumn("_i", F.row_number().over(w.orderBy(*by)) - 1).withColumn("_n", F.count(F.lit(1)).over(w))
-    picks = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.bround(k * (F.col("_n") - 1) / F.lit(max(1, n - 1)), 0).cast("long"))
-    return p.where((F.col("_n") <= n) | F.array_contains(picks, F.col("_i").cast("long"))).drop("_i", "_n")
+    p = ranked_within(df, strata, by)
+    picks = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.bround(k * (F.col("n") - 1) / F.lit(max(1, n - 1)), 0).cast("long"))
+    return p.where((F.col("n") <= n) | F.array_contains(picks, F.col("pos").cast("long"))).drop("pos", "n")
 
 
 def priority_fill(df: DataFrame, priority: str, key: str, n: int, seed: str) -> DataFrame:

@@ -29,6 +29,25 @@ def ranked(df: DataFrame, order: list) -> tuple[DataFrame, int]:
     return pieces.withColumn("rank0", F.row_number().over(within) - 1 + before).drop("_piece"), total
 
 
+def ranked_within(df: DataFrame, group: list[str], order: list) -> DataFrame:
+    """``df`` with ``pos`` (from 0) and ``n`` within groups that may be few and large: ranks of all rows less that of the group's first."""
+    r, _ = ranked(df, [*group, *order])
+    first = r.groupBy(*[F.col(g).alias(f"_g_{g}") for g in group]).agg(F.min("rank0").alias("_first"), F.count(F.lit(1)).alias("n"))
+    same = [F.col(g).eqNullSafe(F.col(f"_g_{g}")) for g in group]
+    return r.join(first, same).withColumn("pos", F.col("rank0") - F.col("_first")).drop("rank0", "_first", *[f"_g_{g}" for g in group])
+
+
+def running_sum(df: DataFrame, group: list[str], order: list[str], value: str, name: str) -> DataFrame:
+    """``name``: the sum of ``value`` up to each row, within groups that may be few and large: by range pieces, raised by the sums of the pieces before."""
+    keys = [*group, *order]
+    pieces = cut(df.repartitionByRange(*keys).withColumn("_piece", F.spark_partition_id()), "pieces")
+    upto = Window.partitionBy(*group, "_piece").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    sums = pieces.groupBy(*[F.col(g).alias(f"_g_{g}") for g in group], F.col("_piece").alias("_p")).agg(F.sum(value).alias("_s"))
+    sums = sums.withColumn("_add", F.coalesce(F.sum("_s").over(Window.partitionBy(*[f"_g_{g}" for g in group]).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_s")
+    same = [*[F.col(g).eqNullSafe(F.col(f"_g_{g}")) for g in group], F.col("_piece") == F.col("_p")]
+    return pieces.join(sums, same).withColumn(name, F.sum(value).over(upto) + F.col("_add")).drop("_piece", "_p", "_add", *[f"_g_{g}" for g in group])
+
+
 def positioned(df: DataFrame, group: list[str], order: list[str]) -> DataFrame:
     """Adds ``pos`` (from 0) and ``n`` (rows of the group)."""
     w = Window.partitionBy(*group)
@@ -69,8 +88,7 @@ def quantile_bins(df: DataFrame, by: list[str], bins: int, within: list[str] = (
     if not within:
         r, n = ranked(df, by)
         return r.withColumn("bin", F.floor(F.col("rank0") * bins / F.lit(max(1, n))).cast("int")).drop("rank0")
-    w = Window.partitionBy(*within)
-    return df.withColumn("bin", F.floor((F.row_number().over(w.orderBy(*by)) - 1) * bins / F.count(F.lit(1)).over(w)).cast("int"))
+    return ranked_within(df, list(within), by).withColumn("bin", F.floor(F.col("pos") * bins / F.col("n")).cast("int")).drop("pos", "n")
 
 
 def shares(counts: DataFrame, n: str, within: list[str] = ()) -> DataFrame:
@@ -87,8 +105,12 @@ def leave_one_out(df: DataFrame, group: list[str], value: str, least: int = 3) -
     return j.withColumn("others", F.bround((F.col("_s") - F.col(value)) / (F.col("_n") - 1), 0).cast("int")).drop("_n", "_s")
 
 
-def run_lengths(df: DataFrame, group: list[str], order: list[str], flag: str) -> DataFrame:
-    """Maximal runs of rows with ``flag`` (gaps and islands): start position and length."""
+def run_lengths(df: DataFrame, group: list[str], order: list[str], flag: str, few: bool = False) -> DataFrame:
+    """Maximal runs of rows with ``flag`` (gaps and islands): start position and length. ``few``: the groups are few and large."""
+    if few:
+        p = ranked_within(df, group, order).where(flag).select(*group, F.col("pos").alias("_at"))
+        q = ranked_within(p, group, ["_at"]).withColumn("_i", F.col("_at") - F.col("pos"))
+        return q.groupBy(*group, "_i").agg(F.min("_at").cast("int").alias("start"), F.count(F.lit(1)).alias("length")).drop("_i")
     p = positioned(df, group, order).where(flag)
     w = Window.partitionBy(*group).orderBy("pos")
     return p.withColumn("_i", F.col("pos") - F.row_number().over(w)).groupBy(*group, "_i").agg(F.min("pos").alias("start"), F.count(F.lit(1)).alias("length")).drop("_i")

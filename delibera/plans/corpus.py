@@ -151,13 +151,22 @@ def s5_s19_counts(spark, d):
 
 @query(f"WITH {NOTES}, g AS (SELECT forum_id, string_agg('[' || coalesce(kind,'') || ' ' || note_id || ']' || chr(10) || coalesce(content_text,''), chr(10) || chr(10) ORDER BY coalesce(cdate,0), note_id) doc, count(*) n FROM m GROUP BY 1) SELECT forum_id, n, md5(doc) doc_md5, length(doc) chars FROM g")
 def d3_w10_forum_document(spark, d):
-    # one document per forum is the asked-for row; its size is that of the forum's text
+    """One document per forum, as the SQL has it: its size is that of the forum's text, and beyond ``MOST_BYTES`` it can't be a row.
+
+    That is an error before the texts are gathered; w18_note_lines has the same lines as a row for each note.
+    """
+    size = base.notes(spark, d, "forum_id", size=F.octet_length(F.coalesce("content_text", F.lit(""))) + 100).groupBy("forum_id").agg(F.sum("size").alias("s")).agg(F.max("s")).first()[0]
+    if (size or 0) > MOST_BYTES:
+        raise ValueError(f"a forum has {size} bytes of text; a document of more than {MOST_BYTES} can't be a row")
     part = F.struct(F.coalesce("cdate", F.lit(0)).alias("c"), F.col("note_id"), F.concat(F.lit("["), F.coalesce("kind", F.lit("")), F.lit(" "), F.col("note_id"), F.lit("]\n"), F.coalesce("content_text", F.lit(""))).alias("t"))
     g = base.notes(spark, d, "forum_id", "kind", "cdate", "content_text").groupBy("forum_id").agg(F.sort_array(F.collect_list(part)).alias("p"))
     doc = F.array_join(F.col("p.t"), "\n\n")
     return g.select("forum_id", F.size("p").cast("bigint").alias("n"), F.md5(doc).alias("doc_md5"), F.length(doc).cast("bigint").alias("chars"))
 
 
+#: Sorted array and joined text together stay under the 2 GB that a row may have.
+MOST_BYTES = 700_000_000
+
 LINK = f"{NOTES}, l AS (SELECT note_id, forum_id, kind, CASE WHEN x IS NULL OR x = forum_id THEN NULL ELSE x END parent FROM (SELECT *, nullif(regexp_extract(trim(coalesce(replyto,''), E' \\n\\t\\r'), '([^=&?#/\\s]*)$', 1), '') x FROM m)), ok AS (SELECT l.*, p.note_id pid FROM l LEFT JOIN l p ON p.note_id = l.parent AND p.forum_id = l.forum_id)"
 
 

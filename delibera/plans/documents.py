@@ -44,7 +44,7 @@ def d1_compact_records(spark, d):
 def d2_packets(spark, d):
     t = topics(spark, d)
     f = t.select("year", "forum_id").distinct()
-    p = f.withColumn("packet", F.floor((F.row_number().over(Window.partitionBy("year").orderBy("forum_id")) - 1) / 10).cast("int"))
+    p = S.ranked_within(f, ["year"], ["forum_id"]).select("year", "forum_id", F.floor(F.col("pos") / 10).cast("int").alias("packet"))
     return t.join(p, ["year", "forum_id"]).groupBy("year", "packet").agg(F.count(F.lit(1)).alias("units"), F.count_distinct("forum_id", "rk").alias("reviews"), F.count_distinct("forum_id").alias("forums"))
 
 

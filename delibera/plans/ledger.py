@@ -65,7 +65,7 @@ ST = f"coalesce({instant('started_at')}, -1)"
 def t5_budget_gate(spark, d):
     c = base.calls(spark, d).select(F.lower(F.trim("model")).alias("model"), "job_id", F.coalesce(T.instant_of(F.col("started_at")), F.lit(-1)).alias("at"), F.coalesce("reserved_microusd", F.lit(0)).alias("r"))
     # amounts aren't negative: the running sum passes the cap once, and everything after is closed out
-    s = c.withColumn("used", F.sum("r").over(Window.partitionBy("model").orderBy("at", "job_id", "r").rowsBetween(Window.unboundedPreceding, 0)))
+    s = sequence.running_sum(c, ["model"], ["at", "job_id", "r"], "r", "used")
     ok = F.col("used") <= 500000
     return s.groupBy("model").agg(F.count(F.lit(1)).alias("calls"), F.count_if(ok).alias("admitted"), F.max(F.when(ok, F.col("used"))).alias("spent"))
 
@@ -86,7 +86,7 @@ def t8_token_steps(spark, d):
 @query(f"WITH {CALLS}, p AS (SELECT lower(trim(model)) model, status = 'failed' bad, row_number() OVER (PARTITION BY lower(trim(model)) ORDER BY {ST}, job_id, status, coalesce(finish_reason,'')) - 1 pos FROM c), r AS (SELECT *, pos - row_number() OVER (PARTITION BY model ORDER BY pos) i FROM p WHERE bad) SELECT model, CAST(min(pos) AS INT) AS start, count(*) length FROM r GROUP BY model, i HAVING count(*) >= 2")
 def t7_failure_runs(spark, d):
     c = base.calls(spark, d).select(F.lower(F.trim("model")).alias("model"), F.coalesce(T.instant_of(F.col("started_at")), F.lit(-1)).alias("at"), "job_id", "status", F.coalesce("finish_reason", F.lit("")).alias("fr"), (F.col("status") == "failed").alias("bad"))
-    return sequence.run_lengths(c, ["model"], ["at", "job_id", "status", "fr"], "bad").where("length >= 2")
+    return sequence.run_lengths(c, ["model"], ["at", "job_id", "status", "fr"], "bad", few=True).where("length >= 2")
 
 
 @query(f"WITH {JOBS}, k AS (SELECT paper_id, count(*) FILTER (stage = 'initial_blind') i, count(*) FILTER (stage = 'initial_blind' AND status = 'complete') ic, count(*) FILTER (stage = 'trajectory') t FROM j GROUP BY 1) SELECT paper_id, i = ic AND i > 0 next_stage_open, t FROM k")

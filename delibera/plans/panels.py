@@ -132,13 +132,13 @@ OVER = f"{X}, st AS (SELECT DISTINCT forum_id, rk, topic FROM x), sz AS (SELECT
 @query(f"WITH {OVER} SELECT forum_id, count(*) pairs, round(avg(jac), 5) overlap FROM j GROUP BY 1")
 def g29_j16_overlap(spark, d):
     j = P.set_overlap(x(spark, d), ["forum_id"], "rk", "topic").withColumn("jac", F.round("jaccard", 6))
-    return j.groupBy("forum_id").agg(F.count(F.lit(1)).alias("pairs"), F.round(F.avg("jac"), 5).alias("overlap"))
+    return j.groupBy("forum_id").agg(F.round(F.sum(F.round(F.col("jac") * 1_000_000).cast("long") * F.col("pairs")) / F.sum("pairs") / 1_000_000, 5).alias("overlap"), F.sum("pairs").alias("pairs"))
 
 
 @query(f"WITH {OVER} SELECT CAST(least(9, floor(jac * 10)) AS INT) bin, count(*) n FROM j GROUP BY 1")
 def g30_histogram(spark, d):
     j = P.set_overlap(x(spark, d), ["forum_id"], "rk", "topic").withColumn("jac", F.round("jaccard", 6))
-    return j.groupBy(F.least(F.lit(9), F.floor(F.col("jac") * 10)).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    return j.groupBy(F.least(F.lit(9), F.floor(F.col("jac") * 10)).cast("int").alias("bin")).agg(F.sum("pairs").alias("n"))
 
 
 @query(f"WITH {SIGNS}, rv AS (SELECT DISTINCT forum_id, topic FROM x WHERE tp = 'post_author_response') SELECT contested, count(*) n, count(rv.forum_id) revisited, round(count(rv.forum_id) / count(*), 6) rate FROM ct LEFT JOIN rv USING (forum_id, topic) GROUP BY 1")
@@ -196,10 +196,12 @@ BAR = f"""{DEC}, {RAT.replace(NOTES + ', ', '')}, pm AS (SELECT year, forum_id,
 
 
 def _bar(spark, d):
-    m = base.ratings(spark, d).join(acc(spark, d), "forum_id").groupBy("year", "forum_id", "acc").agg(F.avg("rating").alias("mean"), F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy("year")
-    r = m.withColumn("k", F.count(F.lit(1)).over(w)).withColumn("rate", F.avg(F.col("acc").cast("int")).over(w)).withColumn("i", F.row_number().over(w.orderBy("mean", "forum_id")) - 1)
-    th = r.where(F.col("i") == F.least(F.col("k") - 1, F.floor(F.col("k") * (1 - F.col("rate")) + 1e-9))).select("year", F.col("mean").alias("bar"))
+    m = base.ratings(spark, d).join(acc(spark, d), "forum_id").groupBy("year", "forum_id", "acc").agg(F.avg("rating").alias("mean"))
+    years = m.groupBy("year").agg(F.avg(F.col("acc").cast("int")).alias("rate"))
+    r = S.ranked_within(m, ["year"], ["mean", "forum_id"]).join(years, "year")
+    k = F.col("_of")
+    r = r.select("year", "mean", "rate", F.col("pos").alias("i"), F.col("n").alias("_of"))
+    th = r.where(F.col("i") == F.least(k - 1, F.floor(k * (1 - F.col("rate")) + 1e-9))).select("year", F.col("mean").alias("bar"))
     return m, th
 
 

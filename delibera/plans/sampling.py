@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from delibera.functions import text as T
 from delibera.functions.sql import UNITS, cascade
 from delibera.operators import sampling as S
+from delibera.operators import sequence
 from delibera.plans import base, panels
 
 Q: dict = {}
@@ -114,9 +115,10 @@ def o7_r7_scenario_picks(spark, d):
 @query(f"WITH {TOPIC}, s AS (SELECT DISTINCT year, forum_id, rk FROM t), a AS (SELECT year, rk, forum_id, row_number() OVER (PARTITION BY year ORDER BY sha256('x:' || forum_id || ':' || rk), forum_id, rk) i FROM s), b AS (SELECT a.year, a.forum_id fa, a.rk ra, c.forum_id fb, c.rk rb FROM a JOIN a c ON c.year = a.year AND c.i = a.i + 1 WHERE a.i % 2 = 1 AND a.forum_id <> c.forum_id) SELECT * FROM b")
 def j19_stranger_pairs(spark, d):
     s = topics(spark, d).select("year", "forum_id", "rk").distinct()
-    w = Window.partitionBy("year").orderBy(T.hash_order("x", "forum_id", "rk"), "forum_id", "rk")
-    a = s.withColumn("i", F.row_number().over(w)).withColumn("fb", F.lead("forum_id").over(w)).withColumn("rb", F.lead("rk").over(w))
-    return a.where("i % 2 = 1 AND fb IS NOT NULL AND forum_id <> fb").select("year", F.col("forum_id").alias("fa"), F.col("rk").alias("ra"), "fb", "rb")
+    a = sequence.ranked_within(s.withColumn("_h", T.hash_order("x", "forum_id", "rk")), ["year"], ["_h", "forum_id", "rk"])
+    row = F.struct("forum_id", "rk")
+    pairs = a.groupBy("year", F.floor(F.col("pos") / 2).alias("_k")).agg(F.min_by(row, "pos").alias("a"), F.max_by(row, "pos").alias("b"), F.count(F.lit(1)).alias("c"))
+    return pairs.where("c = 2 AND a.forum_id <> b.forum_id").select("year", F.col("a.forum_id").alias("fa"), F.col("a.rk").alias("ra"), F.col("b.forum_id").alias("fb"), F.col("b.rk").alias("rb"))
 
 
 QUERIES = Q

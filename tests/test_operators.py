@@ -43,7 +43,12 @@ def test_leave_one_out_rounds_half_to_even(spark):
 
 def test_overlap_of_empty_and_equal_sets(spark):
     df = spark.createDataFrame([("f", "a", "x"), ("f", "a", "x"), ("f", "b", "x"), ("f", "b", "y"), ("f", "c", "z"), ("g", "a", "x")], "f string, r string, t string")
-    assert sorted((r.a, r.b, r.jaccard) for r in P.set_overlap(df, ["f"], "r", "t").collect()) == [("a", "b", 0.5), ("a", "c", 0.0), ("b", "c", 0.0)]
+    assert sorted((r.jaccard, r.pairs) for r in P.set_overlap(df, ["f"], "r", "t").collect()) == [(0.0, 1), (0.0, 1), (0.5, 1)]
+    many = spark.createDataFrame([("f", f"r{i}", t) for i in range(50) for t in ("p", "q", "s")[: 1 + i % 3]] + [("f", None, "p")], "f string, r string, t string")
+    sets = [{"p", "q", "s"} if i % 3 == 2 else {"p", "q"} if i % 3 else {"p"} for i in range(50)]
+    want = sum(len(a & b) / len(a | b) for i, a in enumerate(sets) for b in sets[:i])
+    got = P.set_overlap(many, ["f"], "r", "t").agg(F.sum(F.col("jaccard") * F.col("pairs")).alias("s"), F.sum("pairs").alias("n")).first()
+    assert got.n == 50 * 49 // 2 and abs(got.s - want) < 1e-9
 
 
 def test_dissent(spark):
@@ -55,6 +60,10 @@ def test_dissent(spark):
 def test_positions_bins_and_runs(spark):
     df = spark.createDataFrame([("g", i, i in (1, 2, 5)) for i in range(6)], "g string, i int, f boolean")
     assert sorted((r.start, r.length) for r in S.run_lengths(df, ["g"], ["i"], "f").collect()) == [(1, 2), (5, 1)]
+    assert sorted((r.start, r.length) for r in S.run_lengths(df, ["g"], ["i"], "f", few=True).collect()) == [(1, 2), (5, 1)]
+    hot = spark.createDataFrame([(None if i % 2 else "a", i) for i in range(101)], "g string, i int")
+    assert {(r.g, r.i): (r.pos, r.n) for r in S.ranked_within(hot, ["g"], ["i"]).collect()} == {(None if i % 2 else "a", i): (i // 2, 50 if i % 2 else 51) for i in range(101)}
+    assert {(r.g, r.i): r.s for r in S.running_sum(hot, ["g"], ["i"], "i", "s").collect()} == {(None if i % 2 else "a", i): sum(range(i % 2, i + 1, 2)) for i in range(101)}
     p = S.positioned(df.where("i < 3"), ["g"], ["i"]).withColumn("b", S.position_bin(F.col("pos"), F.col("n")))
     assert sorted(r.b for r in p.collect()) == [0, 2, 4]
     assert [r.bin for r in S.quantile_bins(spark.range(7), ["id"], 5).orderBy("id").collect()] == [0, 0, 1, 2, 2, 3, 4]
