@@ -32,6 +32,7 @@ PROFILE = "table_field string, kind string, year int, field string, what string,
 REPORT = "table_field string, kind string, year int, field string, change_type string, old_value string"
 _BOX = {"value", "readers", "nonreaders", "writers", "signatures"}
 _word = re.compile(r"\w+")
+_mark = re.compile(r"[^\w\s]")
 
 
 def unbox(value):
@@ -74,8 +75,11 @@ def _sketch(value, to: Counter) -> None:
         words = _word.findall(text.lower())
         for w in words:
             to["word", _bin(w, WORDS)] += 1
-        # the form of the value as a whole: its punctuation and the kinds of its first words
-        to["form", _bin(" ".join(_form(w) for w in words[:4]) + "".join(re.findall(r"[^\w\s]", text))[:6], FORMS)] += 1
+        # the form of the whole value: the kinds of all its words and its punctuation, as shares, so that it has the weight of one value
+        kinds = Counter(map(_form, words)) + Counter(_mark.findall(text))
+        total = kinds.total()
+        for k, n in kinds.items():
+            to["form", _bin(k, FORMS)] += n / total
         size = math.log1p(len(text))
         to["len", 0] += 1
         to["len", 1] += size
@@ -167,7 +171,7 @@ class Field:
         return min(self.types, key=lambda t: (-self.types[t], t))
 
     def like(self, other: Field) -> float:
-        """Likeness in 0..1: content (words, whole values), form, length, and a little the name."""
+        """Likeness in 0..1: content (words, whole values), form, length, types, and a little the name."""
 
         def cosine(what):
             a, b = np.sqrt(self.vectors[what]), np.sqrt(other.vectors[what])
@@ -177,7 +181,9 @@ class Field:
         spread = math.sqrt(max(q / n - (s / n) ** 2, 0)) + math.sqrt(max(q2 / n2 - (s2 / n2) ** 2, 0)) + 0.25
         length = math.exp(-abs(s / n - s2 / n2) / spread)
         name = SequenceMatcher(None, self.name.lower(), other.name.lower()).ratio()
-        return 0.45 * max(cosine("word"), cosine("value")) + 0.3 * cosine("form") + 0.2 * length + 0.05 * name
+        every = sorted(self.types | other.types)
+        a, b = (np.sqrt([x.types[t] / x.types.total() for t in every]) for x in (self, other))
+        return 0.42 * max(cosine("word"), cosine("value")) + 0.28 * cosine("form") + 0.18 * length + 0.07 * float(a @ b) + 0.05 * name
 
 
 def changes(fields: dict[tuple, Field], least: float = 0.8) -> list[tuple]:

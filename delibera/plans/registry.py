@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from delibera.plans import corpus, documents, ledger, mining, panels, quality, records, sampling, sequences, warehouse
+from delibera.plans import corpus, documents, ledger, mining, panels, quality, records, sampling, sequences, state, warehouse
 
-MODULES = [records, corpus, sequences, panels, mining, sampling, quality, ledger, documents, warehouse]
+MODULES = [records, corpus, sequences, panels, mining, sampling, quality, ledger, documents, state, warehouse]
 
 
 def queries() -> dict:

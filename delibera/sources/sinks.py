@@ -73,6 +73,23 @@ def _written(spark: SparkSession, path: str) -> list[tuple[str, int, str]]:
     return sorted(out)
 
 
+def publish(df: DataFrame, path: str) -> None:
+    """Write a table beside ``path`` and put it there by one rename: readers see the old table or the whole new one.
+
+    A failed write leaves the old table; what was there before stays as ``path.before`` until the next publication.
+    """
+    jvm = df.sparkSession.sparkContext._jvm
+    at, staged, before = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{path}.staged", f"{path}.before"))
+    fs = at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration())
+    df.write.option("compression", "zstd").mode("overwrite").parquet(f"{path}.staged")
+    if fs.exists(at):
+        fs.delete(before, True)
+        if not fs.rename(at, before):
+            raise OSError(f"{path} can't be moved")
+    if not fs.rename(staged, at):
+        raise OSError(f"{path}.staged can't be moved to {path}")
+
+
 def rebuild_partitions(df: DataFrame, path: str, *columns: str) -> None:
     """Replace the partitions that ``df`` has rows of, and leave the others. A failed write leaves the old files."""
     df.write.partitionBy(*columns).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)

@@ -143,6 +143,12 @@ def test_files_and_sinks(spark, tmp_path):
     sinks.rebuild_partitions(df, str(tmp_path / "q"), "y")
     sinks.rebuild_partitions(df.where("y = 1").withColumn("t", F.lit("new")), str(tmp_path / "q"), "y")
     assert {(r.y, r.t[:3]) for r in spark.read.parquet(str(tmp_path / "q")).collect()} == {(1, "new"), (2, "yyy")}
+    sinks.publish(df, str(tmp_path / "pub"))
+    with pytest.raises(Exception):  # a failed write leaves the table as it was
+        sinks.publish(df.select(F.raise_error(F.lit("no"))), str(tmp_path / "pub"))
+    assert spark.read.parquet(str(tmp_path / "pub")).count() == 2
+    sinks.publish(df.where("y = 1"), str(tmp_path / "pub"))
+    assert spark.read.parquet(str(tmp_path / "pub")).count() == 1 and spark.read.parquet(str(tmp_path / "pub.before")).count() == 2
     assert json.loads(sinks.plate(df, "y", ["t"]).first()[0])["1"] == {"t": "x"}
     assert "</script><" not in sinks.island({"a": "</script><b>"}, "x")[:-9]
     assert sinks.markdown_table(df, ["y"]).split("\n") == ["| y | t |", "|---|---|", "| 1 | x |", "| 2 | " + "y" * 50 + " |"]
