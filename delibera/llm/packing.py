@@ -5,15 +5,17 @@ one third of the capacity (never more than two of them fit) are matched greedily
 still fits beside it. Smaller ones, in falling size, go where they leave the least gap, or open a container.
 
 Documents are packed in groups of about ``group_docs`` by the hash of their id. Only the last containers of a group
-stay unfilled, so the groups cost next to nothing, and no task ever holds more than a group.
+stay unfilled, so the groups cost next to nothing, and no task ever holds more than a group. With one group
+(``group_docs`` beyond the number of documents) all are packed together.
 
-Defined results: a null or blank text has no tokens and gets no container (container_id null, one row); a null id has
+Defined results: a null or empty text has no tokens and gets no container (container_id null, one row); a null id has
 no row. Every other token of every text is in exactly one container.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 from bisect import bisect_left, bisect_right, insort
 
 import numpy as np
@@ -28,31 +30,39 @@ TOKENIZERS = "/opt/tokenizers"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
-def encoding(folder: str, name: str = "byte_bpe_50k.tiktoken"):
+def encoding(vocabulary: bytes):
     import tiktoken
 
-    with open(f"{folder}/{name}", "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+    ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in vocabulary.splitlines() if line.strip())}
     return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def token_counts(documents: DataFrame, folder: str = TOKENIZERS, piece: int = 200_000) -> DataFrame:
-    """(doc_id, tokens). Very long texts are encoded in pieces cut after white space."""
+_lone_space = re.compile(r"(?<=\S) (?=\S)")
 
-    def run(batches):
-        enc = encoding(folder)
-
-        def count(text) -> int:
-            if not isinstance(text, str) or not text.strip():
-                return 0
-            n, a = 0, 0
-            while len(text) - a > piece:
-                b = text.rfind(" ", a + 1, a + piece)
-                b = b if b > a else a + piece
-                n += len(enc.encode_ordinary(text[a:b]))
-                a = b
-            return n + len(enc.encode_ordinary(text[a:]))
 
+def pieces(text: str, size: int):
+    """Parts of about ``size`` characters whose tokens are those of the whole.
+
+    A text is cut only before a space between two characters that are none: by the pattern a token always begins there.
+    """
+    a = 0
+    while len(text) - a > size:
+        m = _lone_space.search(text, a + size)
+        if m is None:
+            break
+        yield text[a : m.start()]
+        a = m.start()
+    yield text[a:]
+
+
+def token_counts(documents: DataFrame, folder: str = TOKENIZERS, name: str = "byte_bpe_50k.tiktoken", size: int = 200_000) -> DataFrame:
+    """(doc_id, tokens). The vocabulary is read on the driver and sent along; long texts are encoded part by part, with the same tokens."""
+    with open(f"{folder}/{name}", "rb") as f:
+        vocabulary = documents.sparkSession.sparkContext.broadcast(f.read())
+
+    def run(batches):
+        enc = encoding(vocabulary.value)
+        count = lambda text: sum(len(enc.encode_ordinary(p)) for p in pieces(text, size)) if isinstance(text, str) else 0
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "tokens": [count(t) for t in pdf["text"]]})
 

@@ -364,3 +364,13 @@ def test_runs_of_replaced_words_are_bridged():
     doc = L.Squeezed(" ".join(text))
     i, places, kept = L.aligned(doc, items.words[0], doc.bytes.find(b"".join(items.words[0][:6])), 0, 6)
     assert i == 0 and len(kept) == 60 and sum(kept) == 55
+
+
+def test_tokens_of_parts_are_those_of_the_whole():
+    """Long runs of blanks and words without spaces count as in one piece."""
+    with open(f"{P.TOKENIZERS}/byte_bpe_50k.tiktoken", "rb") as f:
+        enc = P.encoding(f.read())
+    rng = random.Random(6)
+    for text in (" ".join(rng.choice(VOCAB) for _ in range(300)), "a  b" + " " * 90 + "\n\n c" * 40 + "x" * 120 + " y's z", " " * 300, "", "é日 本" * 50):
+        parts = list(P.pieces(text, 25))
+        assert "".join(parts) == text and sum(len(enc.encode_ordinary(p)) for p in parts) == len(enc.encode_ordinary(text))
