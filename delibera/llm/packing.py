@@ -8,7 +8,7 @@ Documents are packed in groups of about ``group_docs`` by the hash of their id.
 stay unfilled, so the groups cost next to nothing, and no task ever holds more than a group. With one group
 (``group_docs`` beyond the number of documents) all are packed together.
 
-Defined results: a null or empty text has no tokens and gets no container (container_id null, one row); a null id has
+Defined results: a null or blank text has no tokens and gets no container (container_id null, one row); a null id has
 no row. Every other token of every text is in exactly one container.
 """
 
@@ -62,7 +62,7 @@ def token_counts(documents: DataFrame, folder: str = TOKENIZERS, name: str = "by
 
     def run(batches):
         enc = encoding(vocabulary.value)
-        count = lambda text: sum(len(enc.encode_ordinary(p)) for p in pieces(text, size)) if isinstance(text, str) else 0
+        count = lambda text: sum(len(enc.encode_ordinary(p)) for p in pieces(text, size)) if isinstance(text, str) and text.strip() else 0
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "tokens": [count(t) for t in pdf["text"]]})
 
