@@ -18,6 +18,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -59,6 +60,12 @@ def fields_of(text, inside: str | None) -> dict:
     return {k: u for k, v in value.items() if (u := unbox(v)) is not None} if isinstance(value, dict) else {}
 
 
+@lru_cache(maxsize=200_000)
+def _traits(word: str) -> tuple[int, str]:
+    """The bin and the form of a word."""
+    return _bin(word, WORDS), _form(word)
+
+
 def _bin(text: str, bins: int) -> int:
     return zlib.crc32(text.encode("utf-8", "replace")) % bins
 
@@ -73,10 +80,13 @@ def _sketch(value, to: Counter) -> None:
         text = part if isinstance(part, str) else _compact(part)
         to["value", _bin(text, VALUES)] += 1
         words = _word.findall(text.lower())
-        for w in words:
-            to["word", _bin(w, WORDS)] += 1
+        seen = Counter(words)
+        kinds = Counter(_mark.findall(text))
+        for w, n in seen.items():
+            at, form = _traits(w)
+            to["word", at] += n
+            kinds[form] += n
         # the form of the whole value: the kinds of all its words and its punctuation, as shares, so that it has the weight of one value
-        kinds = Counter(map(_form, words)) + Counter(_mark.findall(text))
         total = kinds.total()
         for k, n in kinds.items():
             to["form", _bin(k, FORMS)] += n / total
