@@ -101,6 +101,37 @@ def test_a_named_note_outweighs_the_rest_and_a_wrong_name_doesnt(spark):
     assert all(not got[n][1] and got[n][0] in {r[0] for r in rows} for n in some[3:])
 
 
+def test_conversations_by_given_links_need_no_scores(spark, monkeypatch):
+    """A valid link is the parent whatever the scores, so none are worked out, and no names or writers are read for them."""
+
+    def scored(*_):
+        raise AssertionError("a score that can't change the result")
+
+    for f in ("guessed_parents", "hashed_names", "hash_of"):
+        monkeypatch.setattr(C, f, scored)
+    assert conversations(spark, WHOLE) == {("a", 1, "a"), ("a", 2, "b"), ("a", 3, "d")}
+
+
+def test_conversations_are_disentangled_where_links_are_lost(spark):
+    """The likeliest parents form the conversations: whole threads come back that have no link left, and links that are left decide."""
+    rows, truth = interleaved()
+    rows = [r[:7] for r in rows]
+    top = {r[0]: r[0] for r in rows}
+    for node in sorted(truth):  # parents come before their answers
+        top[node] = top[truth[node]]
+    assert conversations(spark, rows) == set()
+    for block in (8192, 96):
+        got = {note: conv for conv, _, note in conversations(spark, rows, likely=True, block=block)}
+        assert sum(got.get(n) == t for n, t in top.items()) >= 0.9 * len(top)
+    assert conversations(spark, WHOLE, likely=True) == conversations(spark, WHOLE)
+    # where some links are left and others name notes that are gone, all threads come back the same way
+    mixed = [(r[0], r[1], (truth[r[0]] if k % 3 else "gone") if r[0] in truth else None, *r[3:]) for k, r in enumerate(rows)]
+    got = {note: conv for conv, _, note in conversations(spark, mixed, likely=True)}
+    assert sum(got.get(n) == t for n, t in top.items()) >= 0.9 * len(top)
+    alone = {note for _, _, note in conversations(spark, mixed)}
+    assert len(alone) < 0.9 * len(top)
+
+
 def brute_window(doc_words, item_words, exact=12, loose=24):
     best = False
     for a in range(len(doc_words)):
